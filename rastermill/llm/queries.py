@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, warc
+from . import fingerprints, language, lines, mixing, packing, quality, toxicity, warc
 from .common import table
 
 
@@ -15,8 +15,14 @@ def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": _on("documents", language.query),
+    "op3_lines": _on("documents", lines.query),
+    "op5_mixing": _on("documents", mixing.query),
     "op6_fingerprints": _on("documents", fingerprints.query),
+    "op7_packing": _on("documents", packing.query),
     "op8_warc": _on("pages", warc.query),
+    "op9_quality": lambda spark, sf_dir: quality.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op10_toxicity": lambda spark, sf_dir: toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_lines": lines.SQL}
