@@ -1,11 +1,13 @@
 """Language ID by compression: a text belongs to the language whose dictionary makes it smallest.
 
 Each language's model is a zstandard raw-content dictionary of bounded size. A text is encoded whole with every
-dictionary; the smallest size wins, and a narrow margin to the second is a rejection.
+dictionary, as its lower-cased words without digits and signs; the smallest size wins, and a narrow margin to the
+second is a rejection.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,11 +20,17 @@ from .common import columns, small_batches
 
 #: Bounds of the sample that a dictionary is made of: documents a language, bytes of each, bytes of a dictionary.
 SAMPLE_DOCS, PIECE_BYTES, DICTIONARY_BYTES = 96, 1200, 96 << 10
-LEVEL = 3
+LEVEL = 6
 #: A text is rejected when the second language's size is within this share of the smallest.
-MIN_MARGIN = 0.004
+MIN_MARGIN = 0.002
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters(text: str) -> str:
+    """The lower-cased words of a text, each with a space on either side, without digits and signs."""
+    return f" {_OTHER.sub(' ', text.lower()).strip()} "
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, piece_bytes: int = PIECE_BYTES) -> dict[str, bytes]:
@@ -41,7 +49,7 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, piece_bytes: int = PIEC
     pieces = some.select("lang", "rank", F.substring(F.col("text"), start, F.lit(piece_bytes)).alias("piece")).collect()
     out: dict[str, list[bytes]] = {}
     for r in sorted(pieces, key=lambda r: (r["lang"], -r["rank"])):
-        out.setdefault(r["lang"], []).append(r["piece"].encode()[:piece_bytes])
+        out.setdefault(r["lang"], []).append(letters(r["piece"]).encode()[:piece_bytes])
     return {lang: b"\n".join(x)[-DICTIONARY_BYTES:] for lang, x in out.items()}
 
 
@@ -55,7 +63,7 @@ class Classifier:
             self.packers.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
     def sizes(self, text: str) -> list[int]:
-        data = text.encode("utf-8", "surrogatepass")
+        data = letters(text).encode("utf-8", "surrogatepass")
         return [len(p.compress(data)) for p in self.packers]
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -66,9 +74,6 @@ class Classifier:
         return ranked[0][1], 1.0 if len(ranked) == 1 else ranked[1][0] / ranked[0][0] - 1
 
 
-_CACHE: dict[int, Classifier] = {}
-
-
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN, keep_text: bool = False) -> DataFrame:
     """Add lang_pred, margin and rejected to each row, and drop the text unless keep_text. No shuffle.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, lines, mixing, packing, quality, toxicity, warc
+from . import fingerprints, language, lines, mixing, packing, quality, substrings, toxicity, warc
 from .common import table
 
 
@@ -15,6 +15,7 @@ def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": _on("documents", substrings.query),
     "op2_language": _on("documents", language.query),
     "op3_lines": _on("documents", lines.query),
     "op5_mixing": _on("documents", mixing.query),
