@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, lines, mixing, packing, quality, substrings, toxicity, warc
+from . import fingerprints, jaccard, language, lines, mixing, packing, quality, substrings, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substrings": _on("documents", substrings.query),
     "op2_language": _on("documents", language.query),
     "op3_lines": _on("documents", lines.query),
+    "op4_jaccard": _on("documents", jaccard.query),
     "op5_mixing": _on("documents", mixing.query),
     "op6_fingerprints": _on("documents", fingerprints.query),
     "op7_packing": _on("documents", packing.query),
