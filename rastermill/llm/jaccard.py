@@ -26,9 +26,9 @@ from .common import KEY_HASH, columns, delete, fresh_path, pack_sorted, release,
 from .components import components
 from .units import NO_ID, Unit, bucket_bounds, each_unit, narrow, opened, rows_of, units, wide
 
-SHINGLE = 4
-#: A link: 100 * intersection >= 85 * union.
-PERCENT = 85
+SHINGLE = 5
+#: A link: 100 * intersection >= PERCENT * union.
+PERCENT = 80
 #: Tokens in more documents than this are the frequent class; combinations have COMBINATION tokens.
 FREQUENT = 4096
 COMBINATION = 2
@@ -249,5 +249,5 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """op4: as similar_sets()."""
-    return similar_sets(docs)
+    """op4: shingles of four words, similarity of 0.85 or more."""
+    return similar_sets(docs, width=4, percent=85)
