@@ -1 +1 @@
-"""Part of the raster-suitability engine."""
+"""No streaming operators: none of the suitability analytics work on streams."""
