@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -39,8 +41,11 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
     try:
         if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
             delete(spark, path)
-    except Exception:  # the session has gone; the cluster's clean-up of its checkpoint folder applies
+            return
+    except Exception:  # the session has gone
         pass
+    if path.startswith(("file:", "/")):  # elsewhere the cluster's clean-up of its checkpoint folder applies
+        shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -97,14 +97,15 @@ def group_by_text(docs: DataFrame, bits: int = 128) -> DataFrame:
     return final.select("doc_id", "fingerprint").join(groups, "fingerprint")
 
 
-ROW = "doc_id long, next_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string"
+ROW = "doc_id long, next_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, changed boolean"
 EDGE = f"{ROW}, edge int, position int, text string"
 
 
-def _row(doc_id, text, next_id, following, bits, known=None):
+def _row(doc_id, text, next_id, following, bits, known=None, mark=None):
     new = edited(text, following)
     own = known or digest(text, bits)
-    return [doc_id, next_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own, own if new == text else digest(new, bits)]
+    mark = mark or digest(following, bits)
+    return [doc_id, next_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own, own if new == text else digest(new, bits), mark, new != text]
 
 
 def _neighbours(bits: int):
@@ -112,8 +113,8 @@ def _neighbours(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         position, before = TaskContext.get().partitionId(), None
-        schema = pa.schema([("doc_id", pa.int64()), ("next_id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")), ("edge", pa.int32()), ("position", pa.int32()), ("text", pa.string())])
-        none = [None] * 7
+        schema = pa.schema([("doc_id", pa.int64()), ("next_id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")), ("changed", pa.bool_()), ("edge", pa.int32()), ("position", pa.int32()), ("text", pa.string())])
+        none = [None] * 8
 
         def out(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
@@ -125,7 +126,7 @@ def _neighbours(bits: int):
                 if before is None:
                     rows.append([doc_id, *none[1:], 0, position, text])
                 else:
-                    rows.append([*_row(before[0], before[1], doc_id, text, bits, before[2]), mark, None, position, None])
+                    rows.append([*_row(before[0], before[1], doc_id, text, bits, before[2], mark), None, position, None])
                 before = (doc_id, text, mark)
             yield out(rows)
         if before:
@@ -137,9 +138,9 @@ def _neighbours(bits: int):
 def _edges(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[*_row(d, t, nd, nt, bits), digest(nt, bits)] for d, t, nd, nt in zip(*columns(batch, "doc_id", "text", "next_id", "next_text"), strict=True)]
+            rows = [_row(d, t, nd, nt, bits) for d, t, nd, nt in zip(*columns(batch, "doc_id", "text", "next_id", "next_text"), strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.string()) for i, c in enumerate(zip(*rows))], names=[x.split()[0] for x in ROW.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 3 else pa.bool_() if i == 7 else pa.string()) for i, c in enumerate(zip(*rows))], names=[x.split()[0] for x in ROW.split(", ")])
 
     return run
 
@@ -169,16 +170,16 @@ def with_next(docs: DataFrame, bits: int = 128) -> DataFrame:
     rows = written(base.where("edge is null").select(*(x.split()[0] for x in ROW.split(", "))).unionByName(tails.mapInArrow(_edges(bits), ROW)), "fingerprints")
 
     # bytes are compared wherever two texts, edited or not, share a hash
-    marks = rows.select(F.col("fingerprint").alias("digest")).union(rows.where("edited_fingerprint <> fingerprint").select("edited_fingerprint"))
+    marks = rows.select(F.col("fingerprint").alias("digest")).union(rows.where("changed").select("edited_fingerprint"))
     dups = marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     own = rows.select("doc_id", F.col("fingerprint").alias("digest")).join(dups, "digest", "left_semi").distinct()
-    new = rows.where("edited_fingerprint <> fingerprint").select("doc_id", "next_id", F.col("edited_fingerprint").alias("digest")).join(dups, "digest", "left_semi").distinct()
+    new = rows.where("changed").select("doc_id", "next_id", F.col("edited_fingerprint").alias("digest")).join(dups, "digest", "left_semi").distinct()
     ids = own.select("doc_id").union(new.select("doc_id")).union(new.select(F.col("next_id").alias("doc_id"))).distinct()
     some = written(fetch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids), "flagged")
     rebuilt = new.join(some, "doc_id").join(some.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")), "next_id").select("digest", "text", "next_text").mapInArrow(_rebuilt, "digest string, text string")
     clash = written(collisions(own.join(some, "doc_id").select("digest", "text").unionByName(rebuilt)), "clashes")
     if clash.isEmpty():
-        return rows
+        return rows.drop("changed")
     ordinals = []
     for side, text in (("fingerprint", own.join(some, "doc_id").select("doc_id", "digest", F.col("text").alias("__text"))), ("edited_fingerprint", None)):
         if text is None:
@@ -191,7 +192,8 @@ def with_next(docs: DataFrame, bits: int = 128) -> DataFrame:
     for side, frame in ordinals:
         out = out.join(frame, ["doc_id", side], "left")
     out = out.join(nexts, ["next_id", "next_fingerprint"], "left")
-    return out.select("doc_id", "next_id", "n_chars", "edited_sha256", *(_with_ordinal(F.col(s), F.col(f"{s}_ordinal")).alias(s) for s in ("fingerprint", "edited_fingerprint", "next_fingerprint")))
+    own, new, following = (_with_ordinal(F.col(s), F.col(f"{s}_ordinal")) for s in ("fingerprint", "edited_fingerprint", "next_fingerprint"))
+    return out.select("doc_id", "next_id", "n_chars", "edited_sha256", own.alias("fingerprint"), F.when(F.col("changed"), new).otherwise(own).alias("edited_fingerprint"), following.alias("next_fingerprint"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -30,12 +30,12 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode("ascii")
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None, digest: str | None = None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str | None = None) -> bytes:
     """A response, or a revisit of the page refers_to whose block keeps the HTTP head but not the payload."""
     digest = digest or sha1_base32(payload)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", DATE)]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", DATE)]
     if url is not None:
         fields.append(("WARC-Target-URI", " ".join(url.split())))
     if refers_to is not None:
@@ -114,7 +114,7 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _read(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: None if x is None else int(x.strip("<>").rpartition(":")[2])
+        number = lambda x: int(n) if x and (n := x.strip("<>").rpartition(":")[2]) else None
         for batch in batches:
             for (data,) in zip(*columns(batch, "content"), strict=True):
                 rows = [(number(r["warc-record-id"]), r["payload_bytes"], r["warc-payload-digest"].removeprefix("sha1:"), r["warc-type"], number(r.get("warc-refers-to")), r.get("warc-target-uri"), r["payload"] if with_payload else None) for r in read_records(data)]
@@ -129,8 +129,8 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 0) -> list[
     """Write (page_id, url, html) as *.warc.gz under path and return the files.
 
     Of pages with equal payloads of at least revisit_bytes bytes the smallest page_id is a response and the others
-    revisit it. A null html is an empty payload, a null url leaves its field out; a page_id given twice with one
-    payload is written once as a response and again as a revisit of itself only if its id is not the smallest.
+    revisit it. A null html is an empty payload, a null url leaves its field out, a null page_id is a response without a
+    number; repeated rows of the smallest id are responses each. An empty table writes no record.
     """
     spark = pages.sparkSession
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("key", F.sha1("payload"))
