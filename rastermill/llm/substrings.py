@@ -185,18 +185,18 @@ class Index:
     def history(self) -> DataFrame:
         if not self.runs:
             return self.spark.createDataFrame([], "bucket int, keys binary, tags binary")
-        return self.spark.table(self.runs[0][0])
-
-    def _keep(self, rows: DataFrame, compact: bool) -> None:
-        if self.runs and not compact:
-            name, path = self.runs[0]
-            rows.write.bucketBy(self.tables, "bucket").mode("append").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
-            self.count += 1
-            return
-        name, path = f"window_runs_{uuid.uuid4().hex}", fresh_path(self.spark, "window-runs")
-        rows.write.bucketBy(self.tables, "bucket").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
-        self.drop()
-        self.runs, self.count = [(name, path)], 1
+        return self.spark.table(self.runs[0][0]).where("kind = 1").select("bucket", "keys", "tags")
+
+    def _append(self, merged: DataFrame, compact: bool) -> tuple[str, str]:
+        """Write verdicts (kind 0) and the run (kind 1) from where the merge made them; a compacted run gets a table of its own."""
+        fresh = compact or not self.runs
+        name, path = (f"window_runs_{uuid.uuid4().hex}", fresh_path(self.spark, "window-runs")) if fresh else self.runs[0]
+        merged.write.partitionBy("kind").bucketBy(self.tables, "bucket").mode("append").format("parquet").option("compression", "zstd").option("path", path).saveAsTable(name)
+        if fresh:
+            self.drop()
+            self.runs = [(name, path)]
+        self.count += 1
+        return name, path
 
     def drop(self) -> None:
         for name, path in self.runs:
@@ -206,19 +206,20 @@ class Index:
 
     def add(self, docs: DataFrame, keep: bool = True, with_text: bool = False) -> DataFrame:
         batch, units_path = written_at(units(docs), "units")
-        compact = self.count >= self.max_runs
-        prints = batch.mapInArrow(_prints(self.window, self.bits), PRINTS)
+        prints = batch.mapInArrow(_prints(self.window, self.bits), PRINTS).repartition(self.tables, "bucket")
+        compact = keep and self.count >= self.max_runs
         merged = prints.groupBy("bucket").cogroup(self.history().groupBy("bucket")).applyInArrow(_merge(compact, keep), MERGED)
-        path = fresh_path(self.spark, "merged")
-        merged.write.partitionBy("kind").option("compression", "zstd").parquet(path)
-        found = self.spark.read.schema(MERGED).parquet(path)
         if keep:
-            self._keep(found.where("kind = 1").select("bucket", "keys", "tags").repartition(self.tables, "bucket"), compact)
-            delete(self.spark, f"{path}/kind=1")
+            name, path = self._append(merged, compact)
+            found = self.spark.table(name)
+        else:
+            found, path = written_at(merged, "verdicts")
         release(self.spark)
         verdicts = found.where("kind = 0").select("unit_id", "keys", "tags")
         out = written(batch.groupBy("unit_id").cogroup(verdicts.groupBy("unit_id")).applyInArrow(_apply(self.window, with_text), RESULT), "deduplicated")
-        delete(self.spark, path)
+        if keep:
+            self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (kind = 0)")
+        delete(self.spark, f"{path}/kind=0" if keep else path)
         delete(self.spark, units_path)
         release(self.spark)
         return out
