@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -87,7 +86,3 @@ def densified(lines: DataFrame, spacing_m: float = 1000.0) -> DataFrame:
     g, length = F.get("segments", F.col("i")), F.get("lengths", F.col("i"))
     share = F.when(length > 0, (F.col("at") - (F.get("ends", F.col("i")) - length)) / length).otherwise(0.0)
     return rows.select("line_id", F.col("k").cast("long").alias("k"), (g["a"]["x"] + share * (g["b"]["x"] - g["a"]["x"])).alias("x"), (g["a"]["y"] + share * (g["b"]["y"] - g["a"]["y"])).alias("y"))
-
-
-def offsets_within(radius_px: float) -> Sequence[tuple[int, int]]:
-    return disc_offsets(radius_px, 1.0)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,7 +107,3 @@ def sample_nearest(points: DataFrame, cells: DataFrame, grid: GridSpec, clamp: b
     if clamp:
         row, col = F.greatest(F.lit(0), F.least(row, F.lit(grid.height - 1))), F.greatest(F.lit(0), F.least(col, F.lit(grid.width - 1)))
     return points.withColumn("row", row).withColumn("col", col).join(cells, ["row", "col"], "left")
-
-
-def half_width(radius_m: float, pixel: float) -> int:
-    return math.floor(radius_m / positive("pixel", pixel) + 1e-9)
