@@ -106,8 +106,7 @@ def edited_groups(seed, groups=12, members=12):
     return rows
 
 
-@pytest.mark.parametrize("frequent", [4096, 4])
-@pytest.mark.parametrize("width, percent", [(4, 85), (5, 80), (1, 60)])
+@pytest.mark.parametrize("width, percent, frequent", [(4, 85, 4096), (4, 85, 4), (5, 80, 4096), (1, 60, 4)])
 def test_links_equal_brute_force(spark, width, percent, frequent):
     """With `frequent` at 4 nearly all candidates come from combinations of two tokens."""
     rows = edited_groups(width * percent)

@@ -176,9 +176,11 @@ def test_quality_score_is_the_mean_weight(spark):
     raw, good = collections.Counter(x for v in g.values() for x in v), collections.Counter(g[1])
     for bucket, weight in w.items():
         assert weight == pytest.approx(np.log((good[bucket] + 0.5) / (len(g[1]) + 32)) - np.log((raw[bucket] + 0.5) / (sum(raw.values()) + 32)))
-    table = weights
-    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, table).select("doc_id", "score").collect()} if len(w) == quality.BUCKETS else None
-    assert got is None or got[3] == 0
+    full = quality.fit(docs, spark.createDataFrame([(1,)], "doc_id long"))
+    w = {r["bucket"]: r["weight"] for r in full.collect()}
+    g = {r["doc_id"]: r["g"] for r in docs.select("doc_id", quality.grams(F.col("text")).alias("g")).collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.scored(docs, full).select("doc_id", "score").collect()}
+    assert got[3] == got[4] == 0 and got[1] == pytest.approx(np.mean([w[x] for x in g[1]])) and got[1] > got[2]
     assert quality.scored(docs.where("false"), quality.fit(docs, docs.select("doc_id"))).count() == 0
 
 
