@@ -6,9 +6,10 @@ n - o + k tokens: either a rare one among them, so each rare token of the prefix
 the frequent class, so each k-combination of those is a key. A key of one document is no key. Candidates are verified
 on whole sets.
 
-Equal sets are collapsed before the join. Within a key's list every set is verified against the list's first; only
-sets that are then still apart are paired, and only if sizes and positions leave room for a link. What a group of near
-copies costs so grows with its size, and no link between components is lost.
+Equal sets are collapsed before the join. All sets of a key's list are verified against the list's lead. Sets with the
+same leads that are then still in different components meet in pairs of blocks, where vectors of token counts tell which
+pairs can reach the threshold; those are verified as well. So no link between components is lost, and no pair is made
+within a component.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ PERCENT = 80
 FREQUENT = 4096
 COMBINATION = 2
 BUCKET_BITS = 8
+#: Document frequencies are counted by the upper 48 bits of a token: tokens that share them count as one, which changes
+#: their place in the order for all documents alike and no result.
+COUNTED = np.uint64(0xFFFFFFFFFFFF0000)
+#: Cells of the count vector that bounds two sets' difference, and members of a block in the closing round.
+CELLS, BLOCK = 256, 512
 
 
 def shingle_sets(unit: Unit, width: int) -> list[np.ndarray]:
@@ -65,7 +71,7 @@ COUNTS = "bucket int, unit_id long, tokens binary, counts binary"
 def _counts(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, unit in each_unit(batches):
-            tokens, counts = np.unique(np.concatenate([*_distinct(shingle_sets(unit, width)), np.zeros(0, np.uint64)]), return_counts=True)
+            tokens, counts = np.unique(np.concatenate([*_distinct(shingle_sets(unit, width)), np.zeros(0, np.uint64)]) & COUNTED, return_counts=True)
             parts = bucket_bounds(tokens, bits)
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in parts], pa.int32()), pa.array([number] * len(parts), pa.int64()), pa.array([pack_sorted(tokens[a:z]) for _, a, z in parts], pa.binary()), pa.array([narrow(counts[a:z]) for _, a, z in parts], pa.binary())], names=["bucket", "unit_id", "tokens", "counts"])
@@ -90,27 +96,24 @@ def _frequencies(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["unit_id", "tokens", "counts"])
 
 
-def keys_of(tokens: np.ndarray, frequency: np.ndarray, percent: int, k: int, frequent: int) -> tuple[list[int], list[int]]:
-    """The index keys of a set and the positions at which they stand in its order."""
+def keys_of(tokens: np.ndarray, frequency: np.ndarray, percent: int, k: int, frequent: int) -> list[int]:
+    """The index keys of a set."""
     n = len(tokens)
     least = -(-percent * n // 100)
     if n < k:
         k = 1
     order = np.lexsort((tokens, frequency))[: max(0, min(n, n - least + k))]
-    keys, at, hot = [], [], []
-    for position, i in enumerate(order.tolist()):
+    keys, hot = [], []
+    for i in order.tolist():
         if frequency[i] > frequent and k > 1:
-            hot.append((position, tokens[i].tobytes()))
+            hot.append(tokens[i].tobytes())
         elif frequency[i] > 1:
             keys.append(int(tokens[i].view(np.int64)))
-            at.append(position)
-    for some in combinations(hot, k):
-        keys.append(xxhash.xxh3_64_intdigest(b"".join(sorted(t for _, t in some))) - (1 << 63))
-        at.append(some[0][0])
-    return keys, at
+    keys += [xxhash.xxh3_64_intdigest(b"".join(sorted(some))) - (1 << 63) for some in combinations(hot, k)]
+    return keys
 
 
-SETS = "doc_id long, n_shingles long, digest binary, keys array<long>, at array<int>, tokens binary"
+SETS = "doc_id long, n_shingles long, digest binary, keys array<long>, tokens binary, alone long, cells binary"
 
 
 def _keyed(width: int, percent: int, k: int, frequent: int):
@@ -121,21 +124,24 @@ def _keyed(width: int, percent: int, k: int, frequent: int):
         counts = np.concatenate([*(wide(c, len(t)) for t, (_, c) in zip(known, found, strict=True)), np.zeros(0, np.int64)])
         order = np.argsort(many)
         many, counts = many[order], counts[order]
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for ids, body in rows_of(unit_rows, "doc_ids", "body"):
             unit, seen = opened(ids, body), set()
             for doc_id, tokens in zip(unit.doc_ids.tolist(), shingle_sets(unit, width), strict=True):
-                keys, at, blob, digest = [], [], b"", digest_of(tokens)
+                keys, blob, digest, alone_, cells = [], b"", digest_of(tokens), len(tokens), b""
                 if len(tokens) and digest not in seen and len(many):
                     seen.add(digest)
-                    i = np.minimum(np.searchsorted(many, tokens), len(many) - 1)
-                    frequency = np.where(many[i] == tokens, counts[i], 1)
-                    keys, at = keys_of(tokens, frequency, percent, k, frequent)
-                    blob = tokens[frequency > 1].tobytes() if keys else b""
-                for column, x in zip(out, (None if doc_id == NO_ID else doc_id, len(tokens), digest if len(tokens) else None, keys, at, blob), strict=True):
+                    i = np.minimum(np.searchsorted(many, tokens & COUNTED), len(many) - 1)
+                    frequency = np.where(many[i] == tokens & COUNTED, counts[i], 1)
+                    keys = keys_of(tokens, frequency, percent, k, frequent)
+                    if keys:
+                        shared = tokens[frequency > 1]
+                        blob, alone_ = shared.tobytes(), len(tokens) - len(shared)
+                        cells = np.minimum(np.bincount((shared >> np.uint64(8)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes()
+                for column, x in zip(out, (None if doc_id == NO_ID else doc_id, len(tokens), digest if len(tokens) else None, keys, blob, alone_, cells), strict=True):
                     column.append(x)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_shingles", "digest", "keys", "at", "tokens"])
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_shingles", "digest", "keys", "tokens", "alone", "cells"])
 
     return run
 
@@ -167,10 +173,32 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
 
 
 def _room(percent: int):
-    """Whether sizes and positions of a shared key leave room for a link between rows l and r."""
-    n_l, n_r, p_l, p_r = F.col("l.n"), F.col("r.n"), F.col("l.at"), F.col("r.at")
-    most = F.least(p_l, p_r) + F.least(n_l - p_l, n_r - p_r)
-    return (100 * F.least(n_l, n_r) >= percent * F.greatest(n_l, n_r)) & (most * (100 + percent) >= percent * (n_l + n_r))
+    """Whether sizes and tokens that no other set has leave room for a link between rows l and r."""
+    most = F.least(F.col("l.n") - F.col("l.alone"), F.col("r.n") - F.col("r.alone"))
+    return most * (100 + percent) >= percent * (F.col("l.n") + F.col("r.n"))
+
+
+def _close(percent: int):
+    """Pairs of one block, or of two, that are in different components and whose count vectors leave room for a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, label, n, alone_ = (table.column(c).to_numpy() for c in ("doc_id", "label", "n", "alone"))
+        side, twice = table.column("side").to_numpy(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+        out: tuple[list, list] = ([], [])
+        for x in np.flatnonzero(side == 0):
+            others = np.flatnonzero((label != label[x]) & ((side == 1) if twice else (ids > ids[x])))
+            size = n[others] + n[x]
+            apart = alone_[others] + alone_[x] + np.abs(n[others] - alone_[others] - n[x] + alone_[x])
+            others, size = others[(100 + percent) * apart <= (100 - percent) * size], size[(100 + percent) * apart <= (100 - percent) * size]
+            if len(others):
+                apart = alone_[others] + alone_[x] + np.abs(cells[others] - cells[x]).sum(1)
+                found = ids[others[(100 + percent) * apart <= (100 - percent) * size]]
+                out[0].append(np.minimum(found, ids[x]))
+                out[1].append(np.maximum(found, ids[x]))
+        return pa.table([pa.array(np.concatenate([*c, np.zeros(0, np.int64)]), pa.int64()) for c in out], names=["a", "b"])
+
+    return run
 
 
 def similar_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, k: int = COMBINATION, frequent: int = FREQUENT, lower: bool = True) -> DataFrame:
@@ -192,30 +220,34 @@ def similar_sets(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     classes = written(table.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # a class's keys come from one document: the smallest that has some (a unit lists each set once)
     keyed = table.where("size(keys) > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    sets = table.where("size(keys) > 0").select("doc_id", "n_shingles", "alone", "tokens", "cells").join(keyed, "doc_id", "left_semi")
     postings, postings_path = written_at(
-        table.where("size(keys) > 0").select("doc_id", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("keys", "at")).alias("p")).select(F.col("p.keys").alias("key"), "doc_id", "n", F.col("p.at").alias("at")).join(keyed, "doc_id", "left_semi"),
+        table.where("size(keys) > 0").select("doc_id", F.col("n_shingles").alias("n"), "alone", F.explode("keys").alias("key")).join(keyed, "doc_id", "left_semi"),
         "postings",
     )
     release(spark)
-    lists = postings.groupBy("key").agg(F.count("*").alias("docs"), F.min_by(F.struct("doc_id", "n", "at"), "doc_id").alias("lead")).where("docs > 1")
-    lists, lists_path = written_at(lists.select("key", F.col("lead.doc_id").alias("doc_id"), F.col("lead.n").alias("n"), F.col("lead.at").alias("at")), "lists")
-    first = postings.alias("r").join(lists.alias("l"), F.col("l.key") == F.col("r.key")).where((F.col("l.doc_id") < F.col("r.doc_id")) & _room(percent))
-    first, first_path = written_at(first.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct(), "candidates")
-    sets = table.where("size(keys) > 0").select("doc_id", "n_shingles", "tokens").join(keyed, "doc_id", "left_semi")
+    # a list's lead is the set with the smallest share of tokens of its own: what the others are copies of, if it is there
+    lists = postings.groupBy("key").agg(F.count("*").alias("docs"), F.min_by(F.struct("doc_id", "n", "alone"), F.struct(F.col("alone") / F.col("n"), "doc_id")).alias("lead")).where("docs > 1").select("key", "lead")
+    groups = postings.join(lists, "key").select(F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.alone").alias("lead_alone"), "doc_id", "n", "alone").distinct()
+    groups, groups_path = written_at(groups, "groups")
+    delete(spark, postings_path)
+    release(spark)
+    first = groups.where("doc_id <> lead").select(F.struct(F.col("lead").alias("doc_id"), F.col("lead_n").alias("n"), F.col("lead_alone").alias("alone")).alias("l"), F.struct("doc_id", "n", "alone").alias("r")).where(_room(percent))
+    first = first.select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b")).distinct()
     links, _ = _verify(first, sets, percent)
     release(spark)
-    labels = written(components(links), "labels")
-    # sets that share a key but not yet a component; one of the two isn't in the component of the list's first
-    named = postings.join(lists.select("key"), "key", "left_semi").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "at", F.coalesce("label", "doc_id").alias("label"))
-    named, named_path = written_at(named, "labelled")
-    leads = lists.select("key", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", F.coalesce("label", "doc_id").alias("lead"))
-    apart = named.join(leads, "key").where("label <> lead").drop("lead")
-    more = apart.alias("l").join(named.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & _room(percent))
-    more = more.select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    labels, labels_path = written_at(components(links), "labels")
+    # sets of a group that are still apart meet in pairs of blocks
+    named = groups.select("lead", "doc_id", "n", "alone").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    mixed = named.groupBy("lead").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("docs")).where("lo <> hi and docs > 2").select("lead", F.ceil(F.col("docs") / BLOCK).cast("int").alias("blocks"))
+    members = named.join(mixed, "lead").join(sets.select("doc_id", "cells"), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    spread = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "doc_id", "label", "n", "alone", "cells")
+    more = spread.groupBy("lead", "i", "j").applyInArrow(_close(percent), "a long, b long").distinct()
     late, _ = _verify(more, sets, percent)
     release(spark)
     labels = written(components(links.unionByName(late)), "labels")
-    for path in (postings_path, lists_path, first_path, named_path):
+    for path in (groups_path, labels_path):
         delete(spark, path)
     # from linked documents to their classes, and the smallest id of all classes of a component
     linked = labels.join(table.select(F.col("doc_id").alias("id"), "digest"), "id").join(classes, "digest").select("digest", "label", "rep")
