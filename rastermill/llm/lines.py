@@ -31,7 +31,8 @@ def spread(docs: DataFrame, site: str = "source", text: str = "text", min_sites:
     slack = max(1.0, 5 * 1.04 / math.sqrt(1 << LG_K) * min_sites)
     sure = sketched.where(F.col("estimate") > min_sites + slack).select("line_key", F.lit(None).cast("long").alias("sites"))
     near = sketched.where(F.col("estimate").between(min_sites - slack, min_sites + slack)).select("line_key")
-    exact = rows.join(near, "line_key", "left_semi").where("site is not null").groupBy("line_key", "site").agg(F.lit(1).alias("one")).groupBy("line_key").agg(F.count("*").alias("sites"))
+    pairs = rows.where("site is not null").groupBy("line_key", "site").agg(F.lit(1).alias("one"))
+    exact = pairs.join(near, "line_key", "left_semi").groupBy("line_key").agg(F.count("*").alias("sites"))
     return sure.unionByName(exact.where(F.col("sites") >= min_sites))
 
 
