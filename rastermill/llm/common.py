@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import shutil
@@ -14,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Separators between words in every operator: space, tab, newline, vertical tab, form feed, carriage return.
 SEPARATORS = "\\x20\\x09-\\x0D"
 
@@ -82,6 +85,13 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers outlive their tasks, and the next stage's need it."""
+    pa.default_memory_pool().release_unused()
+    if _MALLOC_TRIM is not None:
+        _MALLOC_TRIM(0)
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterable[pa.RecordBatch]:
     """Slices of about `limit` text bytes, at least a row each, so that numpy's arrays stay small."""
     for batch in batches:
@@ -92,6 +102,7 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4
         starts = np.flatnonzero(np.diff(part, prepend=-1))
         for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(a, b - a)
+        trim()
 
 
 # --- hashes of windows of words -------------------------------------------------------------------------------------

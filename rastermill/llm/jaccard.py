@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY_HASH, columns, delete, fresh_path, pack_sorted, release, unpack_sorted, window_starts, written, written_at
+from .common import KEY_HASH, columns, delete, fresh_path, pack_sorted, release, trim, unpack_sorted, window_starts, written, written_at
 from .components import components
 from .units import NO_ID, Unit, bucket_bounds, each_unit, narrow, opened, rows_of, units, wide
 
@@ -140,6 +140,7 @@ def _keyed(width: int, percent: int, k: int, frequent: int):
                         cells = np.minimum(np.bincount((shared >> np.uint64(8)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes()
                 for column, x in zip(out, (None if doc_id == NO_ID else doc_id, len(tokens), digest if len(tokens) else None, keys, blob, alone_, cells), strict=True):
                     column.append(x)
+        trim()
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "n_shingles", "digest", "keys", "tokens", "alone", "cells"])
 

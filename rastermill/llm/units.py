@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, word_spans
+from .common import columns, trim, word_spans
 
 UNIT_BYTES = 2 << 20
 UNIT = "unit_id long, doc_ids binary, body binary"
@@ -68,6 +68,7 @@ def _units(lower: bool, limit: int):
                 size += len(data) + 1
         if rows:
             yield out(packed(number, rows, packer))
+        trim()
 
     return run
 
@@ -102,3 +103,4 @@ def each_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Unit]]:
     for batch in batches:
         for number, ids, body in zip(*columns(batch, "unit_id", "doc_ids", "body"), strict=True):
             yield number, opened(ids, body)
+    trim()
