@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.nulls import positive
 
 TILE = 256
+#: Rays of a horizon profile, evenly around.
+AZIMUTHS = 36
 
 
 def slope_degrees(cells: DataFrame, pixel: float, z: str = "z", out: str = "slope") -> DataFrame:
@@ -33,8 +35,11 @@ def slope_degrees(cells: DataFrame, pixel: float, z: str = "z", out: str = "slop
     return rows.withColumn(out, F.when(F.col(z).isNotNull(), value)).drop("__dx", "__dy")
 
 
-def over_tiles(cells: DataFrame, layers: Sequence[str], halo: int, f: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], outputs: Sequence[str], tile: int = TILE) -> DataFrame:
-    """(row, col, *outputs) for each cell: f gets dense arrays of a tile and its halo (NaN where nothing is)."""
+def over_tiles(cells: DataFrame, layers: Sequence[str], halo: int, f: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], outputs: Sequence[str], tile: int = TILE, cut: int = 0) -> DataFrame:
+    """(row, col, *outputs) for each cell: f gets dense arrays of a tile and its halo (NaN where nothing is).
+
+    The arrays that f returns may be cut by so many cells on each side, the halo at most.
+    """
     tile = max(tile, halo)
     reach = lambda c: F.explode(F.sequence(F.expr(f"floor(({c} - {halo}) / {tile})"), F.expr(f"floor(({c} + {halo}) / {tile})")))
     spread = cells.select("row", "col", *layers).withColumn("__tr", reach("row")).withColumn("__tc", reach("col"))
@@ -52,7 +57,7 @@ def over_tiles(cells: DataFrame, layers: Sequence[str], halo: int, f: Callable[[
         if not core.any():
             return pd.DataFrame(columns=["row", "col", *outputs])
         found = f(arrays)
-        return pd.DataFrame({"row": r[core] + r0, "col": c[core] + c0, **{k: found[k][r[core], c[core]] for k in outputs}})
+        return pd.DataFrame({"row": r[core] + r0, "col": c[core] + c0, **{k: found[k][r[core] - cut, c[core] - cut] for k in outputs}})
 
     out = spread.groupBy("__tr", "__tc").applyInPandas(run, "row long, col long, " + ", ".join(f"{k} double" for k in outputs))
     return out.select("row", "col", *(F.when(~F.isnan(k), F.col(k)).alias(k) for k in outputs))
@@ -123,7 +128,7 @@ def ray_offsets(n_azimuths: int, distances_px: Sequence[float]) -> list[tuple[in
     return out
 
 
-def horizon_profile(cells: DataFrame, pixel: float, n_azimuths: int = 36, max_km: float = 100.0, n_distances: int = 50, radius_m: float = 1737400.0, z: str = "z", distances_m: Sequence[float] | None = None, tile: int = TILE) -> DataFrame:
+def horizon_profile(cells: DataFrame, pixel: float, n_azimuths: int = AZIMUTHS, max_km: float = 100.0, n_distances: int = 50, radius_m: float = 1737400.0, z: str = "z", distances_m: Sequence[float] | None = None, tile: int = TILE) -> DataFrame:
     """(row, col, azimuth, horizon): the highest elevation angle in degrees over bilinear samples along each ray.
 
     The curvature drop d^2/2R is taken off; samples off the grid or beside NULL are skipped; -90 where none is left.
@@ -134,34 +139,40 @@ def horizon_profile(cells: DataFrame, pixel: float, n_azimuths: int = 36, max_km
         raise ValueError("azimuths and distances must be at least 1")
     if distances_m is None:
         distances_m = [p * (far / p) ** (i / max(1, n_distances - 1)) for i in range(n_distances)]
+    if any(not d > 0 for d in distances_m):
+        raise ValueError("distances must be positive")
     rays = ray_offsets(n_azimuths, [d / p for d in distances_m])
     halo = math.ceil(max(distances_m) / p) + 1
 
     def f(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The tile without its halo; only the box of its known cells is worked on, the others have no horizon."""
         a = arrays[z]
-        h, w = a.shape
-        out = {f"a{i}": np.full((h, w), -90.0) for i in range(n_azimuths)}
-        rows, cols = np.arange(h)[:, None], np.arange(w)[None, :]
-        with np.errstate(invalid="ignore"):
-            for i, k, dr, dc in rays:
-                r, c = rows + dr, cols + dc
-                r0, c0 = np.floor(r).astype(int), np.floor(c).astype(int)
-                fr, fc = r - r0, c - c0
-                value, ok = np.zeros((h, w)), np.ones((h, w), bool)
-                for yy, wy in ((r0, 1 - fr), (r0 + 1, fr)):
-                    for xx, wx in ((c0, 1 - fc), (c0 + 1, fc)):
-                        weight = wy * wx
-                        inside = (yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)
-                        v = a[np.clip(yy, 0, h - 1), np.clip(xx, 0, w - 1)]
-                        ok &= (weight == 0) | (inside & ~np.isnan(v))
-                        value += np.where(weight == 0, 0.0, weight * np.nan_to_num(v))
-                d = distances_m[k]
-                angle = np.degrees(np.arctan2(value - a - d * d / (2 * radius_m), d))
-                out[f"a{i}"] = np.where(ok & ~np.isnan(angle), np.fmax(out[f"a{i}"], angle), out[f"a{i}"])
+        side = len(a) - 2 * halo
+        out = {f"a{i}": np.full((side, side), -90.0) for i in range(n_azimuths)}
+        known = ~np.isnan(a[halo : halo + side, halo : halo + side])
+        if not known.any():
+            return out
+        r, c = np.flatnonzero(known.any(1)), np.flatnonzero(known.any(0))
+        top, left, h, w = r[0] + halo, c[0] + halo, r[-1] - r[0] + 1, c[-1] - c[0] + 1
+        centre = a[top : top + h, left : left + w]
+        steepest = np.full((n_azimuths, h, w), -np.inf)
+        for i, k, dr, dc in rays:
+            r0, c0 = math.floor(dr), math.floor(dc)
+            fr, fc = dr - r0, dc - c0
+            value = np.zeros((h, w))
+            for y, wy in ((top + r0, 1 - fr), (top + r0 + 1, fr)):
+                for x, wx in ((left + c0, 1 - fc), (left + c0 + 1, fc)):
+                    if wy * wx != 0:
+                        value += wy * wx * a[y : y + h, x : x + w]
+            d = distances_m[k]
+            np.fmax(steepest[i], (value - centre - d * d / (2 * radius_m)) / d, out=steepest[i])
+        box = slice(r[0], r[0] + h), slice(c[0], c[0] + w)
+        for i in range(n_azimuths):
+            out[f"a{i}"][box] = np.degrees(np.arctan(steepest[i]))
         return out
 
     names = [f"a{i}" for i in range(n_azimuths)]
-    wide = over_tiles(cells, [z], halo, f, names, tile)
+    wide = over_tiles(cells, [z], halo, f, names, tile, cut=halo)
     return wide.select("row", "col", F.posexplode(F.array(*names)).alias("azimuth", "horizon")).withColumn("azimuth", F.col("azimuth").cast("long"))
 
 

@@ -174,8 +174,8 @@ horizon AS (SELECT "row", col, azimuth, coalesce(max(degrees(atan2(s - z - d * d
 
 
 def _horizon_rows(spark, sf_dir):
-    cells = b.cells(spark, sf_dir).where("row < 12").select("row", "col", "z")
-    return focal.horizon_profile(cells, PIXEL, _AZIMUTHS, distances_m=_DISTANCES)
+    """All cells, with the operator's own azimuths and distances; the SQL has the first rows and a few short rays."""
+    return focal.horizon_profile(b.cells(spark, sf_dir).select("row", "col", "z"), PIXEL, focal.AZIMUTHS)
 
 
 @query("foc_horizon", f'WITH {CELLS}, {_HORIZON} SELECT "row", col, azimuth, {sql6("horizon")} AS horizon FROM horizon')
@@ -201,7 +201,7 @@ bucketed AS (SELECT *, ((round_even((((az % (2 * pi())) + 2 * pi()) % (2 * pi())
 def _visible(spark, sf_dir):
     profile = _horizon_rows(spark, sf_dir).groupBy("row", "col").agg(F.transform(F.sort_array(F.collect_list(F.struct("azimuth", "horizon"))), lambda x: x["horizon"]).alias("h"))
     lat, lon = -89 + F.col("row") / F.lit(20.0), F.col("col") * F.lit(2.0)
-    return profile.select("row", "col", r6(focal.visibility_fraction(F.col("h"), lat, lon, F.radians(lon), _AZIMUTHS)).alias("visible"))
+    return profile.select("row", "col", r6(focal.visibility_fraction(F.col("h"), lat, lon, F.radians(lon), focal.AZIMUTHS)).alias("visible"))
 
 
 # --- distances -------------------------------------------------------------------------------------------------------------
