@@ -574,9 +574,13 @@ _SWEEP = f"""pool AS (SELECT s.sample_id, c."row", c.col, round(s.illum * c.illu
 
 
 def _swept(spark, sf_dir):
-    cells = b.cells(spark, sf_dir).where("row < 40").withColumn("warm", F.col("tmax") / 200)
-    scored = sweep.sweep_scores(cells, _samples(spark, sf_dir).where("sample_id < 12"), {"illum": "illum", "los": "los", "warm": "warm"})
-    return sweep.sweep_sites(scored.withColumn("score", F.round("score", 9)), 6, 3000.0, PIXEL)
+    """Sites of all samples over all cells; samples of the same weights are swept once and share their sites."""
+    cells, names = b.cells(spark, sf_dir).withColumn("warm", F.col("tmax") / 200), ["illum", "los", "warm"]
+    samples = _samples(spark, sf_dir)
+    vectors = samples.groupBy(*names).agg(F.min("sample_id").alias("first"))
+    scored = sweep.sweep_scores(cells, vectors.withColumnRenamed("first", "sample_id"), {n: n for n in names})
+    sites = sweep.sweep_sites(scored.withColumn("score", F.round("score", 9)), 6, 3000.0, PIXEL)
+    return samples.join(vectors, names).select("sample_id", "first").join(sites.withColumnRenamed("sample_id", "first"), "first").drop("first")
 
 
 @query("swp_weights", f"WITH RECURSIVE {CELLS}, {_PARTS}, {_SWEEP}, {_nms(6, (3000 / 240) ** 2, 'sample_id')}, {CATALOG}, placed AS (SELECT g, score, {X} AS x, {Y} AS y FROM chosen), m AS (SELECT g, score, min(sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2)) / 1000 AS km FROM placed p, catalog c GROUP BY g, score, p.x, p.y) SELECT g AS sample_id, count(*) AS n_sites, count(*) FILTER (WHERE km <= 4) AS sites_near, {sql6('avg(score)')} AS mean_score FROM m GROUP BY g")

@@ -59,3 +59,28 @@ def test_visibility_of_all_cells(spark, grown):
     got = engine.QUERIES["vis_fraction"](spark, grown).collect()
     assert {(r["row"], r["col"]) for r in got} == {(r, c) for r in range(HEIGHT) for c in range(WIDTH)}
     assert all(0 <= r["visible"] <= 1 for r in got)
+
+
+# --- sweeps
+
+
+def greedy(scores, n, d2):
+    chosen = []
+    for score, row, col in sorted(scores, key=lambda s: (-s[0], s[1], s[2])):
+        if len(chosen) < n and all((row - r) ** 2 + (col - c) ** 2 >= d2 for _, r, c in chosen):
+            chosen.append((score, row, col))
+    return [(row, col) for _, row, col in chosen]
+
+
+def test_sweep_of_all_samples_over_all_cells(spark, grown):
+    cells = [(r["row"], r["col"], r["illum"], r["los"], r["tmax"] / 200) for r in engine.b.cells(spark, grown).where("tmax is not null").collect()]
+    got = {}
+    for r in engine._swept(spark, grown).orderBy("sample_id", "rank").collect():
+        got.setdefault(r["sample_id"], []).append((r["row"], r["col"]))
+    weights = {r["sample_id"]: (r["illum"], r["los"], r["warm"]) for r in engine._samples(spark, grown).collect()}
+    assert set(got) == set(weights) and len(got) == 70
+    for i in (0, 11, 12, 49, 50, 61, 69):
+        a, c, d = weights[i]
+        assert got[i] == greedy([(round(a * x + c * y + d * w, 9), row, col) for row, col, x, y, w in cells], 6, (3000 / 240) ** 2), i
+    assert any(row >= 40 for sites in got.values() for row, _ in sites)
+    assert engine.QUERIES["swp_weights"](spark, grown).count() == 70
