@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,16 +38,18 @@ def point_density(cells: DataFrame, points: DataFrame, radius_m: float) -> DataF
     return cells.join(n, "a_id", "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
 
 
-def nearest(a: DataFrame, b: DataFrame, start_m: float = 10_000.0, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, start_m: float = 10_000.0, broadcast_rows: int = BROADCAST_ROWS, array_rows: int = 0) -> DataFrame:
     """(a_id, b_id, distance_m) for every a, b the nearest; ties go to the smallest b_id.
 
-    A b side of at most broadcast_rows rows is broadcast. Otherwise both meet in buckets that double until each a has a
+    A b side of at most broadcast_rows rows is broadcast, one of at most array_rows goes to the tasks as arrays. Otherwise both meet in buckets that double until each a has a
     neighbour no farther than the bucket size, beyond which nothing nearer can lie. An empty b gives NULLs.
     """
     left, right = a.select("a_id", F.col("x").alias("ax"), F.col("y").alias("ay")), b.select("b_id", F.col("x").alias("bx"), F.col("y").alias("by"))
     d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
     best = [F.min(F.struct("d", "b_id")).alias("best")]
-    few = b.limit(broadcast_rows + 1).count()
+    few = b.limit(max(broadcast_rows, array_rows) + 1).count()
+    if broadcast_rows < few <= array_rows:
+        return _nearest_in_arrays(a, b)
     if few <= broadcast_rows:
         found = left.join(F.broadcast(right), F.lit(True)).withColumn("d", d).groupBy("a_id").agg(*best)
     else:
@@ -61,6 +67,22 @@ def nearest(a: DataFrame, b: DataFrame, start_m: float = 10_000.0, broadcast_row
     return a.select("a_id").join(found, "a_id", "left").select("a_id", F.col("best.b_id").alias("b_id"), F.col("best.d").alias("distance_m"))
 
 
+def _nearest_in_arrays(a: DataFrame, b: DataFrame, block: int = 256) -> DataFrame:
+    points = b.select("b_id", "x", "y").toPandas().sort_values("b_id")
+    ids, x, y = points["b_id"].to_numpy(), points["x"].to_numpy(), points["y"].to_numpy()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            ax, ay = pdf["x"].to_numpy()[:, None], pdf["y"].to_numpy()[:, None]
+            at, near = np.zeros(len(pdf), np.int64), np.zeros(len(pdf))
+            for i in range(0, len(pdf), block):
+                d = np.sqrt((ax[i : i + block] - x) ** 2 + (ay[i : i + block] - y) ** 2)
+                at[i : i + block], near[i : i + block] = d.argmin(1), d.min(1)
+            yield pd.DataFrame({"a_id": pdf["a_id"], "b_id": ids[at], "distance_m": near})
+
+    return a.select("a_id", "x", "y").repartition("a_id").mapInPandas(run, a.select("a_id").schema.add("b_id", b.schema["b_id"].dataType).add("distance_m", "double"))
+
+
 def ring_edges(ring: Column) -> Column:
     """Edges of a closed or open ring of points (x, y)."""
     return F.transform(ring, lambda p, i: F.struct(p["x"].alias("x0"), p["y"].alias("y0"), F.get(ring, F.pmod(i + 1, F.size(ring)))["x"].alias("x1"), F.get(ring, F.pmod(i + 1, F.size(ring)))["y"].alias("y1")))

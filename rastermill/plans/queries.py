@@ -260,8 +260,8 @@ def _densify(spark, sf_dir):
 
 @query("dst_scarps", f'WITH {CELLS}, {_LINES} SELECT "row", col, (round(min(sqrt(({X} - x) ** 2 + ({Y} - y) ** 2)) / 1000, 3) + 0.0) AS km FROM cells, dense WHERE "row" < 40 AND "row" % 3 = 0 GROUP BY ALL')
 def _to_scarps(spark, sf_dir):
-    a = b.cells(spark, sf_dir).where("row < 40 and row % 3 = 0").select((F.col("row") * b.WIDTH + F.col("col")).alias("a_id"), b.grid().x(F.col("col")).alias("x"), b.grid().y(F.col("row")).alias("y"))
-    found = spatial.nearest(a, _scarps(spark, sf_dir).select((F.col("line_id") * 100 + F.col("k")).alias("b_id"), "x", "y"))
+    a = b.cells(spark, sf_dir).select((F.col("row") * b.WIDTH + F.col("col")).alias("a_id"), b.grid().x(F.col("col")).alias("x"), b.grid().y(F.col("row")).alias("y"))
+    found = spatial.nearest(a, _scarps(spark, sf_dir).select((F.col("line_id") * 100 + F.col("k")).alias("b_id"), "x", "y"), array_rows=50_000)
     return found.select(F.expr(f"a_id div {b.WIDTH}").alias("row"), (F.col("a_id") % b.WIDTH).alias("col"), (F.round(F.col("distance_m") / 1000, 3) + 0.0).alias("km"))
 
 

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from rastermill.operators import spatial
 from rastermill.plans import queries as engine
 
 HEIGHT, WIDTH, PIXEL = 50, 125, 240.0
@@ -84,3 +85,20 @@ def test_sweep_of_all_samples_over_all_cells(spark, grown):
         assert got[i] == greedy([(round(a * x + c * y + d * w, 9), row, col) for row, col, x, y, w in cells], 6, (3000 / 240) ** 2), i
     assert any(row >= 40 for sites in got.values() for row, _ in sites)
     assert engine.QUERIES["swp_weights"](spark, grown).count() == 70
+
+
+# --- scarps
+
+
+def test_scarp_distances_of_all_cells(spark, grown):
+    points = np.array([(r["x"], r["y"]) for r in engine._scarps(spark, grown).collect()])
+    got = {(r["row"], r["col"]): r["km"] for r in engine.QUERIES["dst_scarps"](spark, grown).collect()}
+    assert len(got) == HEIGHT * WIDTH
+    for (row, col), km in got.items():
+        assert km == pytest.approx(np.hypot(points[:, 0] - (col + 0.5) * PIXEL, points[:, 1] + (row + 0.5) * PIXEL).min() / 1000, abs=6e-4)
+
+
+def test_nearest_in_arrays_equals_broadcast(spark):
+    a = spark.range(300).selectExpr("id as a_id", "cast(id * 37 % 50 as double) as x", "cast(id * 11 % 40 as double) as y")
+    p = spark.range(80).selectExpr("79 - id as b_id", "cast(id * 7 % 20 as double) as x", "cast(id * 3 % 20 as double) as y")
+    assert sorted(map(tuple, spatial.nearest(a, p).collect())) == sorted(map(tuple, spatial.nearest(a, p, broadcast_rows=5, array_rows=100).collect()))
