@@ -338,34 +338,41 @@ def _by_region(spark, sf_dir):
 _TARGET = 'target AS (SELECT tr AS "row", tc AS col, (tc + 0.5) * 100.0::DOUBLE + 120 AS x, -(tr + 0.5) * 100.0::DOUBLE - 120 AS y FROM range(0, 60) a(tr), range(0, 80) e(tc))'
 
 
-def _target(spark):
-    g = grid.GridSpec(120.0, -120.0, 100.0, 60, 80)
+def _target(spark, source, offset: float, pixel: float):
+    """A grid over the whole source, from the offset on, and its cells."""
+    height, width = ((n * PIXEL - offset) / pixel for n in (source.agg(F.max("row")).first()[0] + 1, b.WIDTH))
+    g = grid.GridSpec(offset, -offset, pixel, math.ceil(height), math.ceil(width))
     return g, g.cells(spark).withColumn("x", g.x(F.col("col"))).withColumn("y", g.y(F.col("row")))
 
 
+def _interpolated(spark, sf_dir, method: str):
+    cells = b.cells(spark, sf_dir)
+    return resample.resampled(cells, b.grid(), _target(spark, cells, 120.0, 100.0)[1], "z", method).withColumn("z", r6("z"))
+
+
 @query("int_nearest", f'WITH {CELLS}, {_TARGET} SELECT t."row", t.col, {sql6("z")} AS z FROM target t LEFT JOIN cells c ON c."row" = round_even(-t.y / 240.0 - 0.5, 0)::BIGINT AND c.col = round_even(t.x / 240.0 - 0.5, 0)::BIGINT')
 def _int_nearest(spark, sf_dir):
-    return resample.resampled(b.cells(spark, sf_dir), b.grid(), _target(spark)[1], "z", "nearest").withColumn("z", r6("z"))
+    return _interpolated(spark, sf_dir, "nearest")
 
 
 @query("int_bilinear", f"""WITH {CELLS}, {_TARGET}, placed AS (SELECT "row", col, floor(-y / 240.0 - 0.5)::BIGINT AS r0, floor(x / 240.0 - 0.5)::BIGINT AS c0, -y / 240.0 - 0.5 - floor(-y / 240.0 - 0.5) AS fr, x / 240.0 - 0.5 - floor(x / 240.0 - 0.5) AS fc FROM target),
 k AS (SELECT a."row", a.col, r0 + i AS sr, c0 + j AS sc, (CASE i WHEN 0 THEN 1 - fr ELSE fr END) * (CASE j WHEN 0 THEN 1 - fc ELSE fc END) AS w FROM placed a, range(0, 2) u(i), range(0, 2) v(j))
 SELECT t."row", t.col, {sql6("sum(w * z) / sum(CASE WHEN z IS NOT NULL THEN w END)")} AS z FROM target t LEFT JOIN k ON k."row" = t."row" AND k.col = t.col AND w <> 0 LEFT JOIN cells c ON c."row" = sr AND c.col = sc GROUP BY ALL""")
 def _int_bilinear(spark, sf_dir):
-    return resample.resampled(b.cells(spark, sf_dir), b.grid(), _target(spark)[1], "z", "bilinear").withColumn("z", r6("z"))
+    return _interpolated(spark, sf_dir, "bilinear")
 
 
 @query("int_cubic")
 def _int_cubic(spark, sf_dir):
-    return resample.resampled(b.cells(spark, sf_dir), b.grid(), _target(spark)[1], "z", "cubic").withColumn("z", r6("z"))
+    return _interpolated(spark, sf_dir, "cubic")
 
 
 def _gather(method: str, sql: str):
     @query(f"int_{method}", f'WITH {CELLS}, t AS (SELECT "row", col FROM range(0, 10) a("row"), range(0, 31) e(col)), g AS (SELECT round_even(-({Y}) / 960.0 - 0.5, 0)::BIGINT AS "row", round_even({X} / 960.0 - 0.5, 0)::BIGINT AS col, {sql6(sql)} AS z FROM cells GROUP BY ALL) SELECT "row", col, z FROM t LEFT JOIN g USING ("row", col)')
     def run(spark, sf_dir):
-        g = grid.GridSpec(0.0, 0.0, 960.0, 10, 31)
-        target = g.cells(spark).withColumn("x", g.x(F.col("col"))).withColumn("y", g.y(F.col("row")))
-        return resample.resampled(b.cells(spark, sf_dir), b.grid(), target, "z", method, g).withColumn("z", r6("z"))
+        cells = b.cells(spark, sf_dir)
+        g, target = _target(spark, cells, 0.0, 960.0)
+        return resample.resampled(cells, b.grid(), target, "z", method, g).withColumn("z", r6("z"))
 
 
 for _name, _sql in (("min", "min(z)"), ("max", "max(z)"), ("mean", "avg(z)"), ("median", "median(z)")):

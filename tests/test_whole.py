@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from rastermill.llm import jaccard, language, packing
 from rastermill.operators import spatial
 from rastermill.plans import queries as engine
 
@@ -102,3 +103,28 @@ def test_nearest_in_arrays_equals_broadcast(spark):
     a = spark.range(300).selectExpr("id as a_id", "cast(id * 37 % 50 as double) as x", "cast(id * 11 % 40 as double) as y")
     p = spark.range(80).selectExpr("79 - id as b_id", "cast(id * 7 % 20 as double) as x", "cast(id * 3 % 20 as double) as y")
     assert sorted(map(tuple, spatial.nearest(a, p).collect())) == sorted(map(tuple, spatial.nearest(a, p, broadcast_rows=5, array_rows=100).collect()))
+
+
+# --- resampling
+
+
+def test_targets_cover_the_whole_raster(spark, grown):
+    z = heights()
+    sizes = {"nearest": (119, 299), "bilinear": (119, 299), "cubic": (119, 299), "min": (13, 32), "max": (13, 32), "mean": (13, 32), "median": (13, 32)}
+    for method, (h, w) in sizes.items():
+        got = {(r["row"], r["col"]): r["z"] for r in engine.QUERIES[f"int_{method}"](spark, grown).collect()}
+        assert set(got) == {(r, c) for r in range(h) for c in range(w)}, method
+        if method == "nearest":
+            for r, c in ((0, 0), (60, 80), (100, 200), (118, 290)):
+                v = z[round((120 + (r + 0.5) * 100) / PIXEL - 0.5), round((120 + (c + 0.5) * 100) / PIXEL - 0.5)]
+                assert got[r, c] is None if np.isnan(v) else got[r, c] == pytest.approx(v, abs=1e-6)
+        elif method == "bilinear":
+            v, u = (120 + 100.5 * 100) / PIXEL - 0.5, (120 + 201.5 * 100) / PIXEL - 0.5
+            r, c = int(v), int(u)
+            want = [(wy * wx, z[y, x]) for y, wy in ((r, 1 - (v - r)), (r + 1, v - r)) for x, wx in ((c, 1 - (u - c)), (c + 1, u - c)) if not np.isnan(z[y, x])]
+            assert got[100, 201] == pytest.approx(sum(a * b for a, b in want) / sum(a for a, _ in want), abs=1e-6)
+        elif method != "cubic":
+            rows, cols = (np.rint((np.arange(n) + 0.5) / 4 - 0.5) for n in (HEIGHT, WIDTH))
+            for r, c in ((0, 0), (9, 30), (11, 31), (12, 5)):
+                part = z[np.ix_(rows == r, cols == c)]
+                assert got[r, c] == pytest.approx(getattr(np, f"nan{method}")(part), abs=1e-6), (method, r, c)
