@@ -128,3 +128,18 @@ def test_targets_cover_the_whole_raster(spark, grown):
             for r, c in ((0, 0), (9, 30), (11, 31), (12, 5)):
                 part = z[np.ix_(rows == r, cols == c)]
                 assert got[r, c] == pytest.approx(getattr(np, f"nan{method}")(part), abs=1e-6), (method, r, c)
+
+
+# --- text operators
+
+
+def test_margins_of_long_texts_stay():
+    rng = np.random.default_rng(5)
+    vocabulary = {lang: ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(4000)] for lang, letters in (("en", "etaoinshrdlu"), ("xx", "etaoinvkjzqy"))}
+    text = lambda lang, n: " ".join(rng.choice(vocabulary[lang], n))
+    model = language.Classifier({lang: language.letters(text(lang, 14_000)).encode()[: language.DICTIONARY_BYTES] for lang in vocabulary})
+    whole = text("en", 1_200_000)
+    assert len(whole) > 6_500_000
+    found, margin = model.predict(whole)
+    short = model.predict(whole[:50_000])
+    assert found == short[0] == "en" and margin > language.MIN_MARGIN and margin > short[1] / 4
