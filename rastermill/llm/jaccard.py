@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KEY_HASH, columns, delete, fresh_path, pack_sorted, release, trim, unpack_sorted, window_starts, written, written_at
@@ -276,9 +276,21 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Of several rows with the id that stays, the one with the smallest text stays.
     """
-    found = similar_sets(docs.select("doc_id", "text"), **options).where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi")
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    known = docs.where("doc_id is not null")
+    lost = docs.where("doc_id is null")
+    many = known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if many.isEmpty():
+        found = similar_sets(known.select("doc_id", "text"), **options).where("component_id = doc_id").select("doc_id").distinct()
+        return known.join(found, "doc_id", "left_semi").select(docs.columns).unionByName(lost)
+    # texts of one id are sets of their own: the smallest goes by the id, each other by a hash of id and text
+    order = Window.partitionBy("doc_id").orderBy("text")
+    same = known.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).withColumn("__i", F.row_number().over(order))
+    rows = known.join(many, "doc_id", "left_anti").withColumn("__i", F.lit(1)).unionByName(same)
+    rows = written(rows.withColumn("__key", F.when(F.col("__i") == 1, F.col("doc_id").cast("long")).otherwise(F.xxhash64("doc_id", "text"))), "rows-of-ids")
+    found = similar_sets(rows.select(F.col("__key").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("__key"), "component_id")
+    first = rows.select("__key", "doc_id", "__i").join(found, "__key").groupBy("component_id").agg(F.min(F.struct("doc_id", "__i")).alias("k"))
+    stays = first.groupBy("k.doc_id").agg(F.min("k.__i").alias("__i"))
+    return rows.join(stays, ["doc_id", "__i"], "left_semi").select(docs.columns).unionByName(lost)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -143,3 +143,10 @@ def test_margins_of_long_texts_stay():
     found, margin = model.predict(whole)
     short = model.predict(whole[:50_000])
     assert found == short[0] == "en" and margin > language.MIN_MARGIN and margin > short[1] / 4
+
+
+def test_near_duplicates_keep_one_row_of_an_id_and_part_namesakes(spark):
+    one, two, own = ("a b c d e f g h", "k l m n o p q r", "s t u v w x y z")
+    rows = [(1, one), (1, one), (2, one), (2, own), (3, two), (3, two), (4, two), (5, "z z y y x x w w"), (5, "a z y y x x w v"), (None, one), (None, one)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(1, one), (2, own), (3, two), (5, "a z y y x x w v"), (None, one), (None, one)], key=str)
