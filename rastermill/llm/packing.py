@@ -8,6 +8,7 @@ sequences without a gap, documents being cut where a sequence is full. Only a ra
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,8 @@ def default_tokenizer() -> str:
 class Tokenizer:
     """Ids of a byte-level BPE file of the tokenizers library, as encode(text, add_special_tokens=False) gives them.
 
-    The same merges run in tiktoken, five times as fast; a probe at the start and any error go back to the library.
+    The same merges run in tiktoken, five times as fast; a probe at the start, any error and texts that hold the string
+    of an added token go back to the library.
     """
 
     _PROBE = "It's  a  prøbe: 'tis 1234 words\n\n and\t signs ...\r\n 中文 \U0001f600 ende é"
@@ -43,7 +45,6 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.fast = None
         try:
             import public_tokenizers
@@ -53,6 +54,7 @@ class Tokenizer:
                 vocabulary = json.load(f)["model"]["vocab"]
             alphabet = self._alphabet()
             special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+            self.added = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)")
             ranks = {bytes(alphabet[c] for c in token): i for token, i in vocabulary.items() if token not in special}
             fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             if fast.encode_ordinary(self._PROBE) == self.library.encode(self._PROBE, add_special_tokens=False).ids:
@@ -68,7 +70,7 @@ class Tokenizer:
         return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None:
+        if self.fast is not None and not self.added.search(text):
             try:
                 return self.fast.encode_ordinary(text)
             except BaseException as e:  # a panic of the fast encoder on an extreme text

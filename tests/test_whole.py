@@ -150,3 +150,12 @@ def test_near_duplicates_keep_one_row_of_an_id_and_part_namesakes(spark):
     rows = [(1, one), (1, one), (2, one), (2, own), (3, two), (3, two), (4, two), (5, "z z y y x x w w"), (5, "a z y y x x w v"), (None, one), (None, one)]
     kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(1, one), (2, own), (3, two), (5, "a z y y x x w v"), (None, one), (None, one)], key=str)
+
+
+def test_strings_of_added_tokens_are_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    library, ours = Tokenizer.from_file(packing.default_tokenizer()), packing.tokenizer(packing.default_tokenizer())
+    for text in ("abc <|endoftext|> def", "<|endoftext|>", "x<|endoftext|", "<|endoftext|><|endoftext|> ß"):
+        assert ours.ids(text) == library.encode(text, add_special_tokens=False).ids, text
+    assert ours.fast is not None and len(ours.ids("abc <|endoftext|> def")) == 4
