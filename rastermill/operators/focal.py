@@ -128,17 +128,22 @@ def ray_offsets(n_azimuths: int, distances_px: Sequence[float]) -> list[tuple[in
     return out
 
 
+def ray_distances(pixel: float, max_km: float = 100.0, n: int = 50) -> list[float]:
+    """Distances along a ray in metres, from a pixel to max_km in even ratios."""
+    p, far = positive("pixel", pixel), positive("max_km", max_km) * 1000
+    return [p * (far / p) ** (i / max(1, n - 1)) for i in range(n)]
+
+
 def horizon_profile(cells: DataFrame, pixel: float, n_azimuths: int = AZIMUTHS, max_km: float = 100.0, n_distances: int = 50, radius_m: float = 1737400.0, z: str = "z", distances_m: Sequence[float] | None = None, tile: int = TILE) -> DataFrame:
     """(row, col, azimuth, horizon): the highest elevation angle in degrees over bilinear samples along each ray.
 
     The curvature drop d^2/2R is taken off; samples off the grid or beside NULL are skipped; -90 where none is left.
     """
     p = positive("pixel", pixel)
-    far = positive("max_km", max_km) * 1000
     if n_azimuths < 1 or n_distances < 1:
         raise ValueError("azimuths and distances must be at least 1")
     if distances_m is None:
-        distances_m = [p * (far / p) ** (i / max(1, n_distances - 1)) for i in range(n_distances)]
+        distances_m = ray_distances(p, max_km, n_distances)
     if any(not d > 0 for d in distances_m):
         raise ValueError("distances must be positive")
     rays = ray_offsets(n_azimuths, [d / p for d in distances_m])

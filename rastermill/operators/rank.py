@@ -17,7 +17,7 @@ SALTS = 64
 
 def _checked(n: int, min_distance_m: float, pixel: float) -> float:
     if n <= 0:
-        raise ValueError(f"n must be positive, got {n!r}")
+        raise ValueError(f"no sites to choose: n = {n!r}")
     return (positive("min_distance_m", min_distance_m) / positive("pixel", pixel)) ** 2
 
 

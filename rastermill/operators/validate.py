@@ -10,18 +10,43 @@ from pyspark.sql import functions as F
 from .spatial import contains, nearest, ring_edges, signed_edge_distance
 
 
-def zonal_area(cells: DataFrame, eligible: Column, pixel: float, region: str = "region") -> DataFrame:
-    """Each region's area and eligible area in km2, and their ratio (0 without cells)."""
+def zonal_area(cells: DataFrame, eligible: DataFrame, pixel: float, region: str = "region") -> DataFrame:
+    """Each region's area and eligible area in km2, and their ratio; `eligible` holds the rows of cells that pass every filter."""
     km2 = pixel * pixel / 1e6
-    rows = cells.groupBy(region).agg((F.count("*") * km2).alias("area_km2"), (F.count_if(eligible) * km2).alias("eligible_km2"))
-    return rows.withColumn("fraction", F.coalesce(F.col("eligible_km2") / F.nullif(F.col("area_km2"), F.lit(0.0)), F.lit(0.0)))
+    all_ = cells.groupBy(region).agg((F.count("*") * km2).alias("area_km2"))
+    some = eligible.groupBy(region).agg((F.count("*") * km2).alias("eligible_km2"))
+    rows = all_.join(some, region, "left").withColumn("eligible_km2", F.coalesce("eligible_km2", F.lit(0.0)))
+    return rows.withColumn("fraction", F.col("eligible_km2") / F.col("area_km2"))
 
 
-def compliance(regions: DataFrame, sites: DataFrame, areas: DataFrame) -> DataFrame:
-    """Every region with its sites' count, best and mean score, best site (0: none; ties to the first) and eligible fraction."""
+def compliance(regions: DataFrame, sites: DataFrame, areas: DataFrame | None = None) -> DataFrame:
+    """Every region with its sites' count, best and mean score, best site (0: none; ties to the first) and eligible fraction.
+
+    areas holds (region, eligible_km2) and, where it was counted, area_km2; without that column the published area_km2
+    of regions divides. A region without a known area, or that areas lacks, has the fraction 0.
+    """
     per = sites.groupBy("region").agg(F.count("*").alias("n_sites"), F.max("score").alias("best"), F.avg("score").alias("mean"), F.min_by("site_id", F.struct(-F.col("score"), F.col("site_id"))).alias("best_site"))
-    rows = regions.select("region").join(per, "region", "left").join(areas.select("region", "fraction"), "region", "left")
-    return rows.select("region", F.coalesce("n_sites", F.lit(0)).alias("n_sites"), "best", "mean", F.coalesce("best_site", F.lit(0)).alias("best_site"), F.coalesce("fraction", F.lit(0.0)).alias("fraction"))
+    published = F.col("area_km2").cast("double") if "area_km2" in regions.columns else F.lit(None).cast("double")
+    rows = regions.select("region", published.alias("__published")).join(per, "region", "left")
+    fraction = F.lit(0.0)
+    if areas is not None:
+        counted = F.col("area_km2") if "area_km2" in areas.columns else F.lit(None).cast("double")
+        rows = rows.join(areas.select("region", "eligible_km2", counted.alias("__counted")), "region", "left")
+        area = F.coalesce("__counted", "__published")
+        fraction = F.coalesce(F.when(area > 0, F.col("eligible_km2") / area), F.lit(0.0))
+    return rows.select("region", F.coalesce("n_sites", F.lit(0)).alias("n_sites"), "best", "mean", F.coalesce("best_site", F.lit(0)).alias("best_site"), fraction.alias("fraction"))
+
+
+def compliance_totals(per_region: DataFrame) -> DataFrame:
+    """One row over compliance(): sites, regions, regions with sites, and the names of those without, in order."""
+    none = F.col("n_sites") == 0
+    return per_region.agg(
+        F.coalesce(F.sum("n_sites"), F.lit(0)).alias("n_sites_total"),
+        F.count("*").alias("n_regions_total"),
+        F.count_if(~none).alias("n_regions_with_sites"),
+        F.count_if(none).alias("n_regions_without"),
+        F.array_join(F.sort_array(F.collect_list(F.when(none, F.col("region").cast("string")))), ",").alias("regions_without"),
+    )
 
 
 def matches(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
@@ -37,16 +62,27 @@ def compare(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
     return left.withColumn("one", F.lit(1)).join(right.withColumn("one", F.lit(1)), "one").drop("one")
 
 
+def _swapped(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("a_id", "__id").withColumnRenamed("b_id", "a_id").withColumnRenamed("__id", "b_id")
+
+
 def compare_by_region(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
-    """(id, region, x, y) on both sides -> each region of either side: counts, matches within the region, median distance, unmatched ids."""
-    d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
-    pairs = a.select("region", "a_id", F.col("x").alias("ax"), F.col("y").alias("ay")).join(b.select("region", "b_id", F.col("x").alias("bx"), F.col("y").alias("by")), "region")
-    best = pairs.groupBy("region", "a_id").agg((F.min(d) / 1000).alias("km"))
-    left = a.select("region", "a_id").join(best, ["region", "a_id"], "left").withColumn("ok", F.coalesce(F.col("km") <= km, F.lit(False)))
-    left = left.groupBy("region").agg(F.count("*").alias("n_a"), F.count_if("ok").alias("matched"), F.median(F.when(F.col("ok"), F.col("km"))).alias("median_km"), F.array_join(F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("a_id")))), ",").alias("unmatched_a"))
-    right = b.groupBy("region").agg(F.count("*").alias("n_b"))
+    """(id, region, x, y) on both sides -> each region of either side: counts, matches, median distance, unmatched ids of both.
+
+    A site matches if its nearest partner, wherever that lies, is within km and stands in the same region.
+    """
+    ids = lambda c: F.array_join(F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col(c)))), ",")
+
+    def sides(one: DataFrame, other: DataFrame) -> DataFrame:
+        found = matches(one.select("a_id", "x", "y"), other.select("b_id", "x", "y"), km).join(other.select("b_id", F.col("region").alias("there")), "b_id", "left")
+        rows = one.select("a_id", "region").join(found, "a_id", "left")
+        return rows.withColumn("ok", F.coalesce(F.col("matched") & (F.col("there") == F.col("region")), F.lit(False)))
+
+    left = sides(a, b).groupBy("region").agg(F.count("*").alias("n_a"), F.count_if("ok").alias("matched"), F.median(F.when(F.col("ok"), F.col("distance_km"))).alias("median_km"), ids("a_id").alias("unmatched_a"))
+    right = sides(_swapped(b), _swapped(a)).groupBy("region").agg(F.count("*").alias("n_b"), ids("a_id").alias("unmatched_b"))
     rows = left.join(right, "region", "full")
-    return rows.select("region", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"), F.coalesce("matched", F.lit(0)).alias("matched"), "median_km", F.coalesce("unmatched_a", F.lit("")).alias("unmatched_a"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("region", zero("n_a"), zero("n_b"), zero("matched"), "median_km", F.coalesce("unmatched_a", F.lit("")).alias("unmatched_a"), F.coalesce("unmatched_b", F.lit("")).alias("unmatched_b"))
 
 
 def disagreements(found: DataFrame, n: int = 3) -> DataFrame:

@@ -160,21 +160,24 @@ def _coarsen(spark, sf_dir):
     return grid.coarsened(cells, "z", 4, height, b.WIDTH).select("row", "col", r6("z").alias("z"))
 
 
-_AZIMUTHS, _DISTANCES = 4, [240.0 * (2400.0 / 240.0) ** (i / 7) for i in range(8)]
-_RAYS = ", ".join(f"({a}, {_DISTANCES[k]!r}, {dr!r}, {dc!r})" for a, k, dr, dc in focal.ray_offsets(_AZIMUTHS, [d / PIXEL for d in _DISTANCES]))
+_DISTANCES = focal.ray_distances(PIXEL)
+_RAYS = ", ".join(f"({a}, {_DISTANCES[k]!r}, {dr!r}, {dc!r})" for a, k, dr, dc in focal.ray_offsets(focal.AZIMUTHS, [d / PIXEL for d in _DISTANCES]))
+_CORNERS = (("p", "(1 - fr) * (1 - fc)"), ("q", "(1 - fr) * fc"), ("u", "fr * (1 - fc)"), ("v", "fr * fc"))
+_SAMPLE = " + ".join(f"CASE WHEN {w} = 0 THEN 0 ELSE {w} * {n}.z END" for n, w in _CORNERS)
 _HORIZON = f"""rays AS (SELECT azimuth::BIGINT AS azimuth, d::DOUBLE AS d, dr::DOUBLE AS dr, dc::DOUBLE AS dc FROM (VALUES {_RAYS}) t(azimuth, d, dr, dc)),
-small AS (SELECT "row", col, z FROM cells WHERE "row" < 12),
-placed AS (SELECT s."row", s.col, s.z, azimuth, d, floor(s."row" + dr)::BIGINT AS r0, floor(s.col + dc)::BIGINT AS c0, s."row" + dr - floor(s."row" + dr) AS fr, s.col + dc - floor(s.col + dc) AS fc FROM small s, rays),
-sampled AS (SELECT a."row", a.col, azimuth, d, a.z,
-    CASE WHEN (1 - fr) * (1 - fc) = 0 THEN 0 ELSE (1 - fr) * (1 - fc) * p.z END + CASE WHEN (1 - fr) * fc = 0 THEN 0 ELSE (1 - fr) * fc * q.z END
-    + CASE WHEN fr * (1 - fc) = 0 THEN 0 ELSE fr * (1 - fc) * u.z END + CASE WHEN fr * fc = 0 THEN 0 ELSE fr * fc * v.z END AS s
-  FROM placed a LEFT JOIN small p ON p."row" = r0 AND p.col = c0 LEFT JOIN small q ON q."row" = r0 AND q.col = c0 + 1
-  LEFT JOIN small u ON u."row" = r0 + 1 AND u.col = c0 LEFT JOIN small v ON v."row" = r0 + 1 AND v.col = c0 + 1),
-horizon AS (SELECT "row", col, azimuth, coalesce(max(degrees(atan2(s - z - d * d / (2 * 1737400.0), d))), -90.0) AS horizon FROM sampled GROUP BY ALL)"""
+placed AS (SELECT s."row", s.col, s.z, azimuth, d, floor(s."row" + dr)::BIGINT AS r0, floor(s.col + dc)::BIGINT AS c0,
+    s."row" + dr - floor(s."row" + dr) AS fr, s.col + dc - floor(s.col + dc) AS fc
+  FROM cells s, rays WHERE s.z IS NOT NULL AND s."row" + dr BETWEEN 0 AND (SELECT max("row") FROM cells) AND s.col + dc BETWEEN 0 AND {b.WIDTH - 1}),
+sampled AS (SELECT a."row", a.col, azimuth, d, a.z, {_SAMPLE} AS s
+  FROM placed a LEFT JOIN cells p ON p."row" = r0 AND p.col = c0 LEFT JOIN cells q ON q."row" = r0 AND q.col = c0 + 1
+  LEFT JOIN cells u ON u."row" = r0 + 1 AND u.col = c0 LEFT JOIN cells v ON v."row" = r0 + 1 AND v.col = c0 + 1),
+highest AS (SELECT "row", col, azimuth, max(degrees(atan2(s - z - d * d / (2 * 1737400.0), d))) AS horizon FROM sampled GROUP BY ALL),
+horizon AS (SELECT c."row", c.col, a.azimuth, coalesce(h.horizon, -90.0) AS horizon
+  FROM cells c CROSS JOIN (SELECT DISTINCT azimuth FROM rays) a LEFT JOIN highest h ON h."row" = c."row" AND h.col = c.col AND h.azimuth = a.azimuth)"""
 
 
 def _horizon_rows(spark, sf_dir):
-    """All cells, with the operator's own azimuths and distances; the SQL has the first rows and a few short rays."""
+    """All cells, with the operator's own azimuths and distances."""
     return focal.horizon_profile(b.cells(spark, sf_dir).select("row", "col", "z"), PIXEL, focal.AZIMUTHS)
 
 
@@ -191,10 +194,10 @@ def _visibility_sql() -> str:
         e = (math.cos(p) * math.cos(q), math.cos(p) * math.sin(q), math.sin(p))
         parts.append(f"({k}, {e[0]!r}, {e[1]!r}, {e[2]!r})")
     return f"""earth AS (SELECT k, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM (VALUES {', '.join(parts)}) t(k, x, y, z)),
-place AS (SELECT "row", col, radians(-89 + "row" / 20.0::DOUBLE) AS la, radians(col * 2.0::DOUBLE) AS lo, radians(col * 2.0::DOUBLE) AS gamma FROM cells WHERE "row" < 12),
+place AS (SELECT "row", col, radians(-89 + "row" / 20.0::DOUBLE) AS la, radians(col * 2.0::DOUBLE) AS lo, radians(col * 2.0::DOUBLE) AS gamma FROM cells),
 seen AS (SELECT p."row", p.col, k, degrees(asin(least(greatest(cos(la) * cos(lo) * x + cos(la) * sin(lo) * y + sin(la) * z, -1.0), 1.0))) AS elevation,
     atan2(-sin(lo) * x + cos(lo) * y, -sin(la) * cos(lo) * x - sin(la) * sin(lo) * y + cos(la) * z) - gamma AS az FROM place p, earth),
-bucketed AS (SELECT *, ((round_even((((az % (2 * pi())) + 2 * pi()) % (2 * pi())) / (2 * pi() / 4), 0)::BIGINT % 4) + 4) % 4 AS azimuth FROM seen)"""
+bucketed AS (SELECT *, (round_even((((az % (2 * pi())) + 2 * pi()) % (2 * pi())) / (2 * pi() / {focal.AZIMUTHS}), 0)::BIGINT % {focal.AZIMUTHS}) AS azimuth FROM seen)"""
 
 
 @query("vis_fraction", f'WITH {CELLS}, {_HORIZON}, {_visibility_sql()} SELECT v."row", v.col, {sql6("count(*) FILTER (WHERE elevation > horizon) / 24.0")} AS visible FROM bucketed v JOIN horizon h USING ("row", col, azimuth) GROUP BY ALL')
@@ -258,7 +261,7 @@ def _densify(spark, sf_dir):
     return _scarps(spark, sf_dir).select("line_id", "k", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
 
 
-@query("dst_scarps", f'WITH {CELLS}, {_LINES} SELECT "row", col, (round(min(sqrt(({X} - x) ** 2 + ({Y} - y) ** 2)) / 1000, 3) + 0.0) AS km FROM cells, dense WHERE "row" < 40 AND "row" % 3 = 0 GROUP BY ALL')
+@query("dst_scarps", f'WITH {CELLS}, {_LINES} SELECT "row", col, (round(min(sqrt(({X} - x) ** 2 + ({Y} - y) ** 2)) / 1000, 3) + 0.0) AS km FROM cells, dense GROUP BY ALL')
 def _to_scarps(spark, sf_dir):
     a = b.cells(spark, sf_dir).select((F.col("row") * b.WIDTH + F.col("col")).alias("a_id"), b.grid().x(F.col("col")).alias("x"), b.grid().y(F.col("row")).alias("y"))
     found = spatial.nearest(a, _scarps(spark, sf_dir).select((F.col("line_id") * 100 + F.col("k")).alias("b_id"), "x", "y"), array_rows=50_000)
@@ -330,12 +333,21 @@ def _names(spark, sf_dir):
     return validate.region_names(b.sites(spark, sf_dir), b.catalog(spark, sf_dir))
 
 
-@query("jn_compare_regions", f"WITH {SITES}, {CATALOG}, best AS (SELECT s.region, s.a_id, min(sqrt((s.x - c.x) ** 2 + (s.y - c.y) ** 2)) / 1000 AS km FROM sites s LEFT JOIN catalog c USING (region) GROUP BY ALL), l AS (SELECT region, count(*) AS n_a, count(*) FILTER (WHERE km <= 8) AS matched, median(km) FILTER (WHERE km <= 8) AS median_km, coalesce(string_agg(a_id::VARCHAR, ',' ORDER BY a_id) FILTER (WHERE NOT coalesce(km <= 8, false)), '') AS unmatched_a FROM best GROUP BY region), r AS (SELECT region, count(*) AS n_b FROM catalog GROUP BY region) SELECT region, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, coalesce(matched, 0) AS matched, {sql6('median_km')} AS median_km, coalesce(unmatched_a, '') AS unmatched_a FROM l FULL JOIN r USING (region)")
+@query("jn_compare_regions", f"""WITH {SITES}, {CATALOG},
+d AS (SELECT s.a_id, c.b_id, s.region AS ra, c.region AS rb, sqrt((s.x - c.x) ** 2 + (s.y - c.y) ** 2) / 1000 AS km FROM sites s, catalog c),
+f AS (SELECT a_id, any_value(ra) AS region, min(km) AS km, arg_min(rb, (km, b_id)) = any_value(ra) AND min(km) <= 8 AS ok FROM d GROUP BY a_id),
+g AS (SELECT b_id, any_value(rb) AS region, arg_min(ra, (km, a_id)) = any_value(rb) AND min(km) <= 8 AS ok FROM d GROUP BY b_id),
+l AS (SELECT region, count(*) AS n_a, count(*) FILTER (WHERE ok) AS matched, median(km) FILTER (WHERE ok) AS median_km, string_agg(a_id::VARCHAR, ',' ORDER BY a_id) FILTER (WHERE NOT ok) AS unmatched_a FROM f GROUP BY region),
+r AS (SELECT region, count(*) AS n_b, string_agg(b_id::VARCHAR, ',' ORDER BY b_id) FILTER (WHERE NOT ok) AS unmatched_b FROM g GROUP BY region)
+SELECT region, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, coalesce(matched, 0) AS matched, {sql6('median_km')} AS median_km,
+  coalesce(unmatched_a, '') AS unmatched_a, coalesce(unmatched_b, '') AS unmatched_b FROM l FULL JOIN r USING (region)""")
 def _by_region(spark, sf_dir):
     return validate.compare_by_region(b.sites(spark, sf_dir), b.catalog(spark, sf_dir), 8.0).withColumn("median_km", r6("median_km"))
 
 
-_TARGET = 'target AS (SELECT tr AS "row", tc AS col, (tc + 0.5) * 100.0::DOUBLE + 120 AS x, -(tr + 0.5) * 100.0::DOUBLE - 120 AS y FROM range(0, 60) a(tr), range(0, 80) e(tc))'
+#: The target grid of 100 m over the whole source, from an offset of 120 m on.
+_TARGET = f"""target AS (SELECT tr AS "row", tc AS col, (tc + 0.5) * 100.0::DOUBLE + 120 AS x, -(tr + 0.5) * 100.0::DOUBLE - 120 AS y
+  FROM (SELECT unnest(range(0, ceil(((max("row") + 1) * 240.0 - 120.0) / 100.0)::BIGINT)) AS tr FROM cells), range(0, {math.ceil((b.WIDTH * PIXEL - 120.0) / 100.0)}) e(tc))"""
 
 
 def _target(spark, source, offset: float, pixel: float):
@@ -355,20 +367,33 @@ def _int_nearest(spark, sf_dir):
     return _interpolated(spark, sf_dir, "nearest")
 
 
-@query("int_bilinear", f"""WITH {CELLS}, {_TARGET}, placed AS (SELECT "row", col, floor(-y / 240.0 - 0.5)::BIGINT AS r0, floor(x / 240.0 - 0.5)::BIGINT AS c0, -y / 240.0 - 0.5 - floor(-y / 240.0 - 0.5) AS fr, x / 240.0 - 0.5 - floor(x / 240.0 - 0.5) AS fc FROM target),
-k AS (SELECT a."row", a.col, r0 + i AS sr, c0 + j AS sc, (CASE i WHEN 0 THEN 1 - fr ELSE fr END) * (CASE j WHEN 0 THEN 1 - fc ELSE fc END) AS w FROM placed a, range(0, 2) u(i), range(0, 2) v(j))
-SELECT t."row", t.col, {sql6("sum(w * z) / sum(CASE WHEN z IS NOT NULL THEN w END)")} AS z FROM target t LEFT JOIN k ON k."row" = t."row" AND k.col = t.col AND w <> 0 LEFT JOIN cells c ON c."row" = sr AND c.col = sc GROUP BY ALL""")
+def _kernel(axes: tuple[tuple[int, str], ...]) -> str:
+    """SQL of a separable kernel: for each axis the offsets and their weights of the fraction f, renormalised over known cells."""
+    one = lambda f: ", ".join(f"{{'o': {o}, 'w': {w.replace('f', f)}}}" for o, w in axes)
+    return f"""WITH {CELLS}, {_TARGET}, spot AS (SELECT "row", col, -y / 240.0 - 0.5 AS v, x / 240.0 - 0.5 AS u FROM target),
+placed AS (SELECT "row", col, floor(v)::BIGINT AS r0, floor(u)::BIGINT AS c0, v - floor(v) AS fr, u - floor(u) AS fc FROM spot),
+rows_ AS (SELECT "row", col, r0, c0, fc, unnest([{one('fr')}]) AS i FROM placed),
+k AS (SELECT "row", col, r0 + i.o AS sr, c0 + j.o AS sc, i.w * j.w AS w FROM (SELECT *, unnest([{one('fc')}]) AS j FROM rows_)),
+known AS (SELECT k."row", k.col, sum(w * z) / nullif(sum(w), 0) AS z FROM k JOIN cells c ON c."row" = sr AND c.col = sc WHERE w <> 0 AND z IS NOT NULL GROUP BY ALL)
+SELECT t."row", t.col, {sql6("z")} AS z FROM target t LEFT JOIN known USING ("row", col)"""
+
+
+@query("int_bilinear", _kernel(((0, "(1 - f)"), (1, "f"))))
 def _int_bilinear(spark, sf_dir):
     return _interpolated(spark, sf_dir, "bilinear")
 
 
-@query("int_cubic")
+#: Catmull-Rom weights (a = -0.5) of the cell before, the two around and the one after a fraction f.
+_CUBIC = ((-1, "(-0.5 * f + f ** 2 - 0.5 * f ** 3)"), (0, "(1 - 2.5 * f ** 2 + 1.5 * f ** 3)"), (1, "(0.5 * f + 2 * f ** 2 - 1.5 * f ** 3)"), (2, "(-0.5 * f ** 2 + 0.5 * f ** 3)"))
+
+
+@query("int_cubic", _kernel(_CUBIC))
 def _int_cubic(spark, sf_dir):
     return _interpolated(spark, sf_dir, "cubic")
 
 
 def _gather(method: str, sql: str):
-    @query(f"int_{method}", f'WITH {CELLS}, t AS (SELECT "row", col FROM range(0, 10) a("row"), range(0, 31) e(col)), g AS (SELECT round_even(-({Y}) / 960.0 - 0.5, 0)::BIGINT AS "row", round_even({X} / 960.0 - 0.5, 0)::BIGINT AS col, {sql6(sql)} AS z FROM cells GROUP BY ALL) SELECT "row", col, z FROM t LEFT JOIN g USING ("row", col)')
+    @query(f"int_{method}", f'WITH {CELLS}, t AS (SELECT "row", col FROM (SELECT unnest(range(0, ceil((max("row") + 1) * 240.0 / 960.0)::BIGINT)) AS "row" FROM cells), range(0, {math.ceil(b.WIDTH * PIXEL / 960.0)}) e(col)), g AS (SELECT round_even(-({Y}) / 960.0 - 0.5, 0)::BIGINT AS "row", round_even({X} / 960.0 - 0.5, 0)::BIGINT AS col, {sql6(sql)} AS z FROM cells GROUP BY ALL) SELECT "row", col, z FROM t LEFT JOIN g USING ("row", col)')
     def run(spark, sf_dir):
         cells = b.cells(spark, sf_dir)
         g, target = _target(spark, cells, 0.0, 960.0)
@@ -437,10 +462,12 @@ def _two_sample(spark, sf_dir):
     return s.select("criterion", "n_a", "n_b", *(r6(c).alias(c) for c in ("mean_a", "mean_b", "sd_a", "sd_b", "delta", "abs_delta", "t"))).orderBy(F.desc("abs_delta"))
 
 
-@query("agg_zonal_area", f"WITH {CELLS}, {SLOPE} SELECT region, {sql6('count(*) * 0.0576')} AS area_km2, {sql6('count(*) FILTER (WHERE slope <= 8 AND illum >= 0.33 AND los >= 0.5) * 0.0576')} AS eligible_km2, {sql6('count(*) FILTER (WHERE slope <= 8 AND illum >= 0.33 AND los >= 0.5) / count(*)::DOUBLE')} AS fraction FROM slopes GROUP BY region")
+_AREAS = "areas AS (SELECT region, count(*) AS n, coalesce(any_value(e.n), 0) AS ok FROM slopes LEFT JOIN (SELECT region, count(*) AS n FROM eligible GROUP BY region) e USING (region) GROUP BY region)"
+
+
+@query("agg_zonal_area", f"{_ELIGIBLE}, {_AREAS} SELECT region, {sql6('n * 0.0576')} AS area_km2, {sql6('ok * 0.0576')} AS eligible_km2, {sql6('ok / n::DOUBLE')} AS fraction FROM areas")
 def _area(spark, sf_dir):
-    cells = focal.slope_degrees(b.cells(spark, sf_dir), PIXEL)
-    rows = validate.zonal_area(cells, local.hls_compliant(F.col("slope"), F.col("illum"), F.col("los")), PIXEL)
+    rows = validate.zonal_area(b.cells(spark, sf_dir), _eligible(spark, sf_dir), PIXEL)
     return rows.select("region", *(r6(c).alias(c) for c in ("area_km2", "eligible_km2", "fraction")))
 
 
@@ -501,15 +528,26 @@ def _top_tiles(spark, sf_dir):
     return rank.top_sites_per_region(cells, "tile", 3, 1500.0, PIXEL).withColumn("score", r6("score")).withColumn("resolution_m", F.lit(PIXEL))
 
 
-@query("agg_compliance", f'{_ELIGIBLE}, pool AS (SELECT * FROM eligible), {_nms(5, (2000 / 240) ** 2, "region")}, s AS (SELECT *, row_number() OVER (ORDER BY g, "rank") AS site_id FROM chosen), areas AS (SELECT region, count(*) FILTER (WHERE slope <= 8 AND illum >= 0.33 AND los >= 0.5) / count(*)::DOUBLE AS fraction FROM slopes GROUP BY region) SELECT a.region, count(s.g) AS n_sites, {sql6("max(score)")} AS best, {sql6("avg(score)")} AS mean, coalesce(arg_min(site_id, (-score, site_id)), 0) AS best_site, {sql6("any_value(fraction)")} AS fraction FROM areas a LEFT JOIN s ON s.g = a.region GROUP BY a.region')
+_RANKED = f'{_ELIGIBLE}, pool AS (SELECT * FROM eligible), {_nms(5, (2000 / 240) ** 2, "region")}, s AS (SELECT *, row_number() OVER (ORDER BY g, "rank") AS site_id FROM chosen), {_AREAS}'
+
+
+def _compliance_rows(spark, sf_dir):
+    cells, eligible = b.cells(spark, sf_dir), _eligible(spark, sf_dir)
+    areas = validate.zonal_area(cells, eligible, PIXEL)
+    return validate.compliance(areas.select("region"), rank.top_sites_per_region(eligible, "region", 5, 2000.0, PIXEL), areas)
+
+
+@query("agg_compliance", f"{_RANKED} SELECT a.region, count(s.g) AS n_sites, {sql6('max(score)')} AS best, {sql6('avg(score)')} AS mean, coalesce(arg_min(site_id, (-score, site_id)), 0) AS best_site, {sql6('any_value(a.ok / a.n::DOUBLE)')} AS fraction FROM areas a LEFT JOIN s ON s.g = a.region GROUP BY a.region")
 def _compliance(spark, sf_dir):
-    slopes = focal.slope_degrees(b.cells(spark, sf_dir), PIXEL)
-    areas = validate.zonal_area(slopes, local.hls_compliant(F.col("slope"), F.col("illum"), F.col("los")), PIXEL)
-    sites = rank.top_sites_per_region(_eligible(spark, sf_dir), "region", 5, 2000.0, PIXEL)
-    rows = validate.compliance(areas.select("region"), sites, areas)
+    rows = _compliance_rows(spark, sf_dir)
     return rows.select("region", "n_sites", r6("best").alias("best"), r6("mean").alias("mean"), F.col("best_site").cast("long").alias("best_site"), r6("fraction").alias("fraction"))
 
 
+@query("agg_compliance_totals", f"{_RANKED} SELECT (SELECT count(*) FROM s) AS n_sites_total, count(*) AS n_regions_total, count(*) FILTER (WHERE k > 0) AS n_regions_with_sites, count(*) FILTER (WHERE k = 0) AS n_regions_without, coalesce(string_agg(region::VARCHAR, ',' ORDER BY region::VARCHAR) FILTER (WHERE k = 0), '') AS regions_without FROM (SELECT a.region, count(s.g) AS k FROM areas a LEFT JOIN s ON s.g = a.region GROUP BY a.region)")
+def _compliance_totals(spark, sf_dir):
+    return validate.compliance_totals(_compliance_rows(spark, sf_dir))
+
+
 @query("top_disagreements", f"WITH {SITES}, {CATALOG}, {_MATCHES} SELECT a_id, b_id, {sql6('km')} AS km FROM m WHERE km > 5 ORDER BY km DESC, a_id LIMIT 3")
 def _disagree(spark, sf_dir):
     found = validate.matches(b.sites(spark, sf_dir).select("a_id", "x", "y"), b.catalog(spark, sf_dir).select("b_id", "x", "y"), 5.0)
@@ -577,7 +615,10 @@ def _hypercube(spark, sf_dir):
     return sweep.latin_hypercube(spark, 64, ["a", "b", "c", "d"])
 
 
-_SWEEP = f"""pool AS (SELECT s.sample_id, c."row", c.col, round(s.illum * c.illum + s.los * c.los + s.warm * (c.tmax / 200), 9) AS score FROM cells c, samples s WHERE s.sample_id < 12 AND c.tmax IS NOT NULL AND c."row" < 40)"""
+_SWEEP = """vectors AS (SELECT illum, los, warm, min(sample_id) AS sample_id FROM samples GROUP BY ALL),
+pool AS (SELECT s.sample_id, c."row", c.col, round(s.illum * c.illum + s.los * c.los + s.warm * (c.tmax / 200), 9) AS score FROM cells c, vectors s WHERE c.tmax IS NOT NULL)"""
+#: Samples of equal weights share the sites of the first of them.
+_SHARED = "shared AS (SELECT s.sample_id, c.* FROM samples s JOIN vectors v USING (illum, los, warm) JOIN chosen c ON c.g = v.sample_id)"
 
 
 def _swept(spark, sf_dir):
@@ -590,7 +631,7 @@ def _swept(spark, sf_dir):
     return samples.join(vectors, names).select("sample_id", "first").join(sites.withColumnRenamed("sample_id", "first"), "first").drop("first")
 
 
-@query("swp_weights", f"WITH RECURSIVE {CELLS}, {_PARTS}, {_SWEEP}, {_nms(6, (3000 / 240) ** 2, 'sample_id')}, {CATALOG}, placed AS (SELECT g, score, {X} AS x, {Y} AS y FROM chosen), m AS (SELECT g, score, min(sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2)) / 1000 AS km FROM placed p, catalog c GROUP BY g, score, p.x, p.y) SELECT g AS sample_id, count(*) AS n_sites, count(*) FILTER (WHERE km <= 4) AS sites_near, {sql6('avg(score)')} AS mean_score FROM m GROUP BY g")
+@query("swp_weights", f"WITH RECURSIVE {CELLS}, {_PARTS}, {_SWEEP}, {_nms(6, (3000 / 240) ** 2, 'sample_id')}, {_SHARED}, {CATALOG}, placed AS (SELECT sample_id AS g, score, {X} AS x, {Y} AS y FROM shared), m AS (SELECT g, score, min(sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2)) / 1000 AS km FROM placed p, catalog c GROUP BY g, score, p.x, p.y) SELECT g AS sample_id, count(*) AS n_sites, count(*) FILTER (WHERE km <= 4) AS sites_near, {sql6('avg(score)')} AS mean_score FROM m GROUP BY g")
 def _sweep_weights(spark, sf_dir):
     sites = _swept(spark, sf_dir).withColumn("a_id", F.col("sample_id") * 1000 + F.col("rank"))
     rows = sweep.sweep_metrics(sites, b.catalog(spark, sf_dir).select("b_id", "x", "y"), b.grid().x(F.col("col")), b.grid().y(F.col("row")), 4.0)
@@ -604,7 +645,7 @@ def _sweep_distance(spark, sf_dir):
     return rows.groupBy("distance_km").agg(F.count_if(F.col("score") > 0).alias("n_positive"), r6(F.avg("score")).alias("mean_score"), r6(F.max("score")).alias("max_score"))
 
 
-@query("agg_sweep_statistics", f"WITH RECURSIVE {CELLS}, {_PARTS}, {_SWEEP}, {_nms(6, (3000 / 240) ** 2, 'sample_id')}, n AS (SELECT g, count(*) FILTER (WHERE col < 60) AS n FROM chosen GROUP BY g) SELECT min(n) AS least, floor(median(n))::BIGINT AS middle, max(n) AS most FROM n")
+@query("agg_sweep_statistics", f"WITH RECURSIVE {CELLS}, {_PARTS}, {_SWEEP}, {_nms(6, (3000 / 240) ** 2, 'sample_id')}, {_SHARED}, n AS (SELECT sample_id, count(*) FILTER (WHERE col < 60) AS n FROM shared GROUP BY sample_id) SELECT min(n) AS least, floor(median(n))::BIGINT AS middle, max(n) AS most FROM n")
 def _sweep_statistics(spark, sf_dir):
     n = _swept(spark, sf_dir).groupBy("sample_id").agg(F.count_if(F.col("col") < 60).alias("n"))
     return n.agg(F.min("n").alias("least"), F.floor(F.median("n")).alias("middle"), F.max("n").alias("most"))
