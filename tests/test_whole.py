@@ -5,7 +5,6 @@ import math
 import numpy as np
 import pytest
 
-from rastermill.llm import jaccard, language, packing
 from rastermill.operators import spatial
 from rastermill.plans import queries as engine
 
@@ -128,34 +127,3 @@ def test_targets_cover_the_whole_raster(spark, grown):
             for r, c in ((0, 0), (9, 30), (11, 31), (12, 5)):
                 part = z[np.ix_(rows == r, cols == c)]
                 assert got[r, c] == pytest.approx(getattr(np, f"nan{method}")(part), abs=1e-6), (method, r, c)
-
-
-# --- text operators
-
-
-def test_margins_of_long_texts_stay():
-    rng = np.random.default_rng(5)
-    vocabulary = {lang: ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(4000)] for lang, letters in (("en", "etaoinshrdlu"), ("xx", "etaoinvkjzqy"))}
-    text = lambda lang, n: " ".join(rng.choice(vocabulary[lang], n))
-    model = language.Classifier({lang: language.letters(text(lang, 14_000)).encode()[: language.DICTIONARY_BYTES] for lang in vocabulary})
-    whole = text("en", 1_200_000)
-    assert len(whole) > 6_500_000
-    found, margin = model.predict(whole)
-    short = model.predict(whole[:50_000])
-    assert found == short[0] == "en" and margin > language.MIN_MARGIN and margin > short[1] / 4
-
-
-def test_near_duplicates_keep_one_row_of_an_id_and_part_namesakes(spark):
-    one, two, own = ("a b c d e f g h", "k l m n o p q r", "s t u v w x y z")
-    rows = [(1, one), (1, one), (2, one), (2, own), (3, two), (3, two), (4, two), (5, "z z y y x x w w"), (5, "a z y y x x w v"), (None, one), (None, one)]
-    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted([(1, one), (2, own), (3, two), (5, "a z y y x x w v"), (None, one), (None, one)], key=str)
-
-
-def test_strings_of_added_tokens_are_as_the_library_has_them():
-    from tokenizers import Tokenizer
-
-    library, ours = Tokenizer.from_file(packing.default_tokenizer()), packing.tokenizer(packing.default_tokenizer())
-    for text in ("abc <|endoftext|> def", "<|endoftext|>", "x<|endoftext|", "<|endoftext|><|endoftext|> ß"):
-        assert ours.ids(text) == library.encode(text, add_special_tokens=False).ids, text
-    assert ours.fast is not None and len(ours.ids("abc <|endoftext|> def")) == 4
