@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import math
 import re
 import shutil
 import tempfile
@@ -13,7 +14,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _MALLOC_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -26,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rastermill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -81,6 +87,57 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_of(df: DataFrame, each: int = 128 << 20) -> int:
+    """Tasks for a shuffle of df: the session's number, or more where the files that df reads hold more than `each` bytes a task."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), min(math.ceil(size / each), 1_000_000))
+
+
+#: Keys with more than this share of a table's rows are hot: at most 1 / HOT_SHARE keys can be, which bounds what is broadcast.
+HOT_SHARE = 1e-4
+#: No key of fewer rows is hot.
+HOT_ROWS = 256
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """left joined by key with right, which has one row a key and in column n (dropped) how many rows of left have the key.
+
+    The rows of hot keys meet their one row by a broadcast of at most 1 / HOT_SHARE rows; the others are shuffled. left and right are
+    read more than once, so they should be written tables. total: the sum of n, if it is known.
+    """
+    if how not in ("inner", "left", "left_semi"):
+        raise ValueError(how)
+    total = (right.agg(F.sum(n)).first()[0] or 0) if total is None else total
+    values, limit = [c for c in right.columns if c not in (key, n)], max(HOT_ROWS, total * HOT_SHARE)
+    if total <= limit:
+        return left.join(right.select(key, *values), key, how)
+    hot = right.where(F.col(n) > limit)
+    marked = left.join(F.broadcast(hot.select(key, *values, F.lit(True).alias("__hot"))), key, "left")
+    done = marked.where("__hot").drop("__hot")
+    rest = marked.where("__hot is null").select(*left.columns)
+    cold = right.where(F.col(n) <= limit).select(key, *values)
+    found = rest.join(cold, key, how)
+    names = left.columns if how == "left_semi" else [*left.columns, *values]
+    return done.select(*names).unionByName(found.select(*names))
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, salt_by: list[str], counted: DataFrame, rows_each: int = 1024) -> DataFrame:
+    """left joined by key with right, which has one, possibly wide, row a key; `counted` has left's keys, a row for a row.
+
+    A hot key's rows are dealt over salts by the columns salt_by, about rows_each to a salt, and its row of right goes to each.
+    At most 1 / HOT_SHARE keys are hot, so their list is broadcast.
+    """
+    total = counted.count()
+    limit = max(rows_each, total * HOT_SHARE)
+    hot = counted.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > limit).select(key, F.ceil(F.col("__n") / rows_each).cast("int").alias("__salts"))
+    if total <= limit or hot.isEmpty():
+        return left.join(right, key)
+    hot = written(hot, "hot-keys")
+    a = left.join(F.broadcast(hot), key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("__salts")).cast("int"), F.lit(0)))
+    b = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)))
+    return a.drop("__salts").join(b.drop("__salts"), [key, "__salt"]).drop("__salt")
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
@@ -107,56 +164,59 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4
 
 # --- hashes of windows of words -------------------------------------------------------------------------------------
 
-_MASK = (1 << 64) - 1
-
-
-class SpanHash:
-    """Hashes of byte spans by prefix sums: sum of code(byte) * base^position modulo 2^64, moved back to position 0.
-
-    Equal byte spans have equal hashes wherever they stand. One table of powers serves every chunk of text.
-    """
-
-    def __init__(self, base: int, seed: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.codes = np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = 1 << (n - 1).bit_length()
-            for name, base in (("powers", self.base), ("inverses", self.inverse)):
-                out = np.ones(n, np.uint64)
-                out[1:] = np.uint64(base)
-                setattr(self, name, np.multiply.accumulate(out))
-
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.codes[data] * self.powers[: len(data)], out=out[1:])
-        return out
-
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        x = (prefix[end] - prefix[start]) * self.inverses[start]
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        return x
-
-
-KEY_HASH = SpanHash(0x9E3779B97F4A7C15 | 5, 11)
-TAG_HASH = SpanHash(0xD1342543DE82EF95, 12)
-
-
-def word_spans(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of documents joined by one space: bytes, word starts, word ends, and each document's first word (one more at the end)."""
-    counts = np.fromiter(map(len, texts), np.int64, len(texts))
-    flat = [w for words in texts for w in words]
-    data = np.frombuffer(b" ".join(flat), np.uint8)
-    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-    ends = np.cumsum(sizes + 1) - 1
-    return data, ends - sizes, ends, np.concatenate([[0], np.cumsum(counts)])
+#: Seeds of the words' 128-bit xxhash, and odd multipliers of the two lanes in which its halves are combined.
+_WORD_SEED = 0x5DEECE66D
+_LANES = ((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB), (0xD1342543DE82EF95, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
+
+
+def split_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts of words joined by one space, one after the other, and each text's first word (one more at the end)."""
+    cut = pc.split_pattern(pa.array(texts, pa.large_binary()), b" ")
+    words, first = cut.flatten(), cut.offsets.to_numpy().astype(np.int64)
+    empty = np.fromiter((not t for t in texts), bool, len(texts))
+    if empty.any():  # an empty text splits into one empty word; there is no other
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+        first = first - np.concatenate([[0], np.cumsum(empty)])
+    return words, first
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Two independent 64-bit hashes of each word: the halves of its 128-bit xxhash, made once for each distinct word."""
+    if not len(words):
+        return np.zeros((2, 0), np.uint64)
+    found = words.dictionary_encode()
+    digests = b"".join(xxhash.xxh3_128_digest(w, _WORD_SEED) for w in found.dictionary.to_pylist())
+    return np.ascontiguousarray(np.frombuffer(digests, np.uint64).reshape(-1, 2)[found.indices.to_numpy()].T)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
+    """A hash of the pair (a, b): one-to-one in either when the other is given, and not symmetric."""
+    k, m, n = (np.uint64(x) for x in _LANES[lane])
+    x = (a ^ (a >> np.uint64(32))) * k + b
+    x ^= x >> np.uint64(30)
+    x *= m
+    x ^= x >> np.uint64(27)
+    x *= n
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def window_hashes(words: np.ndarray, width: int, lane: int) -> np.ndarray:
+    """The hash of words i to i + width - 1 for each i. Runs of 2, 4, 8... words are hashed from two halves each, so equal word sequences,
+    and but for chance only those, have equal hashes whatever the words' bytes."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, at, run, size = None, 0, words, 1
+    while size <= width:
+        if width & size:
+            part = run[at : at + n]
+            out = part if out is None else _mixed(out, part, lane)
+            at += size
+        if 2 * size <= width:
+            run = _mixed(run[:-size], run[size:], lane)
+        size *= 2
+    return _mixed(out, np.full(n, width, np.uint64), lane)
 
 
 def window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

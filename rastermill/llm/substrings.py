@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KEY_HASH, TAG_HASH, delete, fresh_path, pack_sorted, partitions, release, unpack_sorted, window_starts, written, written_at
+from .common import delete, fresh_path, pack_sorted, partitions, release, unpack_sorted, window_hashes, window_starts, written, written_at
 from .units import NO_ID, Unit, bucket_bounds, each_unit, narrow, opened, rows_of, units, wide
 
 WINDOW = 20
@@ -35,12 +35,8 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept st
 def fingerprints(unit: Unit, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, check tags, first words and documents of a unit's windows, in order of document and start."""
     at, doc = window_starts(unit.first, window)
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint16), at, doc
-    start, end = unit.starts[at], unit.ends[at + window - 1]
-    keys = KEY_HASH.spans(KEY_HASH.prefix(unit.data), start, end)
-    tags = (TAG_HASH.spans(TAG_HASH.prefix(unit.data), start, end) >> np.uint64(48)).astype(np.uint16)
-    return keys, tags, at, doc
+    keys, tags = (window_hashes(unit.hashes[lane], window, lane) for lane in (0, 1))
+    return keys[at], (tags[at] >> np.uint64(32)).astype(np.uint32), at, doc
 
 
 def _ordered(keys: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +59,7 @@ def _prints(window: int, bits: int):
             keys, tags = keys[chosen], tags[chosen]
             docs = unit.doc_ids[doc[chosen]] if len(chosen) else np.zeros(0, np.int64)
             base = int(docs.min()) if len(docs) else 0
-            docs = docs - base
+            docs = (docs - base).view(np.uint64)  # extreme ids wrap around, and back in the merge
             parts = bucket_bounds(keys, bits)
             if parts:
                 yield pa.RecordBatch.from_arrays(
@@ -86,7 +82,7 @@ def _merge(compact: bool, keep: bool):
         bucket = None
         for k, t in rows_of(old, "keys", "tags"):
             keys.append(unpack_sorted(k))
-            tags.append(np.frombuffer(t, np.uint16))
+            tags.append(np.frombuffer(t, np.uint32))
             docs.append(np.full(len(tags[-1]), np.iinfo(np.int64).min))
             owner.append(np.full(len(tags[-1]), -1, np.int64))
         if old.num_rows:
@@ -94,7 +90,7 @@ def _merge(compact: bool, keep: bool):
         for b, number, base, k, t, d in sorted(rows_of(new, "bucket", "unit_id", "base", "keys", "tags", "docs"), key=lambda r: r[1]):
             bucket = b
             keys.append(unpack_sorted(k))
-            tags.append(np.frombuffer(t, np.uint16))
+            tags.append(np.frombuffer(t, np.uint32))
             docs.append(wide(d, len(tags[-1])) + base)
             owner.append(np.full(len(tags[-1]), len(numbers), np.int64))
             numbers.append(number)
@@ -145,7 +141,7 @@ def _apply(window: int, with_text: bool):
             again[order[begins]] = False
             distinct = _flagged_any(keys[order[begins]], tags[order[begins]], verdicts)
             again[order[begins[distinct]]] = True
-            starts, n = at[again], len(unit.starts)
+            starts, n = at[again], int(unit.first[-1])
             cover = np.zeros(n + 1, np.int64)
             np.add.at(cover, starts, 1)
             np.add.at(cover, starts + window, -1)
@@ -165,7 +161,7 @@ def _apply(window: int, with_text: bool):
 def _flagged_any(keys: np.ndarray, tags: np.ndarray, verdicts: pa.Table) -> np.ndarray:
     out = np.zeros(len(keys), bool)
     for k, t in rows_of(verdicts, "keys", "tags"):
-        out |= _flagged(keys, tags, unpack_sorted(k), np.frombuffer(t, np.uint16))
+        out |= _flagged(keys, tags, unpack_sorted(k), np.frombuffer(t, np.uint32))
     return out
 
 

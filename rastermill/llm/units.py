@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, trim, word_spans
+from .common import columns, split_words, trim, word_hashes
 
 UNIT_BYTES = 2 << 20
 UNIT = "unit_id long, doc_ids binary, body binary"
@@ -27,13 +27,11 @@ NO_ID = (1 << 63) - 1
 
 @dataclass
 class Unit:
-    """Documents in ascending doc_id: words as one byte array and the spans that cut it."""
+    """Documents in ascending doc_id: texts of words joined by one space, the words' two hashes, and each document's first word."""
 
     doc_ids: np.ndarray
     texts: list[bytes]
-    data: np.ndarray
-    starts: np.ndarray
-    ends: np.ndarray
+    hashes: np.ndarray
     first: np.ndarray
 
     def words(self, doc: int) -> list[bytes]:
@@ -41,9 +39,9 @@ class Unit:
 
 
 def opened(doc_ids: bytes, body: bytes) -> Unit:
-    ids = np.frombuffer(doc_ids, np.int64)
     texts = zstandard.ZstdDecompressor().decompress(body).split(b"\n")
-    return Unit(ids, texts, *word_spans([t.split(b" ") if t else [] for t in texts]))
+    words, first = split_words(texts)
+    return Unit(np.frombuffer(doc_ids, np.int64), texts, word_hashes(words), first)
 
 
 def _units(lower: bool, limit: int):

@@ -61,10 +61,10 @@ def test_substrings_of_odd_rows(spark):
 
 def test_one_key_with_two_tags_is_verified():
     """Equal keys count only with equal check tags."""
-    keys, tags = np.array([5, 5, 7], np.uint64), np.array([1, 2, 1], np.uint16)
-    found = substrings._flagged(keys, tags, np.array([5, 7], np.uint64), np.array([2, 9], np.uint16))
+    keys, tags = np.array([5, 5, 7], np.uint64), np.array([1, 2, 1], np.uint32)
+    found = substrings._flagged(keys, tags, np.array([5, 7], np.uint64), np.array([2, 9], np.uint32))
     assert found.tolist() == [False, True, False]
-    order, begins = substrings._ordered(np.array([5, 5, 5], np.uint64), np.array([2, 1, 2], np.uint16))
+    order, begins = substrings._ordered(np.array([5, 5, 5], np.uint64), np.array([2, 1, 2], np.uint32))
     assert order.tolist() == [1, 0, 2] and begins.tolist() == [0, 1]
 
 
@@ -83,9 +83,12 @@ def brute_links(rows, width, percent):
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
+    ids, holders = sorted(sets), collections.defaultdict(list)
+    for d in ids:
+        for x in sets[d]:
+            holders[x].append(d)
+    for a in ids:
+        for b in {d for x in sets[a] for d in holders[x] if d > a}:
             n = len(sets[a] & sets[b])
             if n and 100 * n >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
@@ -106,16 +109,72 @@ def edited_groups(seed, groups=12, members=12):
     return rows
 
 
-@pytest.mark.parametrize("width, percent, frequent", [(4, 85, 4096), (4, 85, 4), (5, 80, 4096), (1, 60, 4)])
-def test_links_equal_brute_force(spark, width, percent, frequent):
-    """With `frequent` at 4 nearly all candidates come from combinations of two tokens."""
+@pytest.mark.parametrize("width, percent, frequent, block", [(4, 85, 4096, 512), (4, 85, 4, 3), (5, 80, 4096, 2), (1, 60, 4, 4)])
+def test_links_equal_brute_force(spark, width, percent, frequent, block):
+    """With `frequent` at 4 nearly all candidates come from combinations of two tokens; small blocks make groups into corpora of their own."""
     rows = edited_groups(width * percent)
     rows += [(900, None), (901, ""), (902, "a"), (903, "A"), (904, "a b"), (905, "A\tB"), (906, "x y z " * 2000), (907, "x y z " * 2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in jaccard.similar_sets(df, width=width, percent=percent, frequent=frequent).collect())
+    got = sorted(tuple(r) for r in jaccard.similar_sets(df, width=width, percent=percent, frequent=frequent, block=block, reorder_blocks=1).collect())
     assert got == brute_links(rows, width, percent)
 
 
+def test_links_of_a_template_with_slots(spark):
+    """Many texts share most words and few pairs link: one list holds all, and its lead links with few."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join([f"t{k}" for k in range(40)] + [f"s{j}v{rng.integers(0, 4)}" for j in range(14)])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.similar_sets(df, width=1, percent=75, frequent=4, block=8, reorder_blocks=2).collect())
+    want = brute_links(rows, 1, 75)
+    assert got == want and 1 < len({c for _, _, c in want}) < 90
+
+
+def test_linked_sets_have_a_kind_of_key_in_common():
+    """Around the length from which on single tokens are keys."""
+    for long in (8, 10, 12):
+        for n in range(4, 24):
+            a = np.arange(n, dtype=np.uint64)
+            for m in range(n, 25):
+                b = np.arange(m, dtype=np.uint64)
+                if 100 * n >= 80 * m:  # a lies in b
+                    keys = [set(jaccard.keys_of(x, np.full(len(x), 99), 80, 2, 4, long)) for x in (a, b)]
+                    assert keys[0] & keys[1], (long, n, m)
+    many = np.arange(5000, dtype=np.uint64)
+    assert len(jaccard.keys_of(many, np.full(5000, 9999), 80, 2, 4096)) <= 5000
+
+
+def test_documents_link_as_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert sorted(tuple(r) for r in jaccard.query(docs).collect()) == brute_links([(r["doc_id"], r["text"]) for r in docs.collect()], 4, 85)
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_on_which_polynomial_hashes_collide(spark):
+    """Complementary Thue-Morse words of 1,024 letters have one polynomial hash modulo 2^64 in every odd base."""
+    a, b = thue_morse(10)
+    rest = " ".join(f"w{k}" for k in range(19))
+    df = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substrings.query(df).collect()) == [(1, 0), (2, 0), (3, 20)]
+    short = spark.createDataFrame([(1, f"{a} x y z"), (2, f"{b} x y z"), (3, f"{a} x y z"), (4, a), (5, b)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard.query(short).collect()) == [(1, 1), (2, 2), (3, 1), (4, 4), (5, 5)]
+
+
+def test_substrings_of_extreme_ids(spark):
+    """Ids from the least to the greatest in one unit: smaller ids come first."""
+    text = " ".join(f"w{k}" for k in range(25))
+    ids = [-(1 << 63), -5, 0, 7, (1 << 63) - 2]
+    df = spark.createDataFrame([(i, text) for i in reversed(ids)] + [(None, text)], "doc_id long, text string").coalesce(1)
+    for batches in (1, 3):
+        got = {r["doc_id"]: r["n_removed"] for r in substrings.dedup(df, batches=batches).collect()}
+        assert got == {None: 25, **{i: 25 for i in ids[1:]}, ids[0]: 0}
+
+
 def test_links_of_odd_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f")], "doc_id long, text string").withColumn("digest", F.lit("x"))
     got = sorted((tuple(r) for r in jaccard.query(df).collect()), key=str)
@@ -164,9 +223,21 @@ def brute_mix(rows, weights, total, max_epochs, seed):
     return sorted(out)
 
 
-@pytest.mark.parametrize("max_epochs, share", [(1, 0.7), (3, 1.2), (3, 0.3)])
-def test_mix_equals_brute_force(spark, monkeypatch, max_epochs, share):
+def test_budgets_on_executors_equal_the_drivers(spark):
+    rng = np.random.default_rng(2)
+    leaves = [(f"d{i % 3}", f"l{i % 7 % 4}", f"s{i}", int(rng.integers(0, 50)) * int(rng.integers(1, 200)), 1) for i in range(120)]
+    weights = {("d0",): 3.0, ("d1",): 0.0, ("d0", "l1"): 4.0, ("d2", "l2"): 0.0, ("d0", "l1", "s1"): 0.2}
+    frame = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long, docs long")
+    for total in (10.0, 50_000.0, 300_000.0, 1e9):
+        want = mixing.budgets({x[:3]: 2.0 * x[3] for x in leaves}, weights, total)
+        got = {(r["domain"], r["lang"], r["source"]): r["found"] for r in mixing.budget_frame(frame, weights, total, 2).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want), total
+
+
+@pytest.mark.parametrize("max_epochs, share, leaves", [(1, 0.7, 50_000), (3, 1.2, 50_000), (3, 0.3, 0)])
+def test_mix_equals_brute_force(spark, monkeypatch, max_epochs, share, leaves):
     monkeypatch.setattr(mixing, "BIN_DOCS", 4)
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", leaves)
     rng = np.random.default_rng(5)
     rows = [(i, " ".join("w" * int(rng.integers(1, 30))) if i % 17 else None, str(rng.choice(["en", "fr"])) if i % 13 else None, f"s{i % 3 if i % 2 else 0}", "ab"[i % 2]) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string").withColumn("tokens", F.lit("x"))
