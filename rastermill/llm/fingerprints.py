@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, partitions, small_batches, written
+from .common import columns, join_counted, partitions_of, small_batches, written
 
 
 def canonical(text: str) -> str:
@@ -62,7 +62,9 @@ def collisions(texts: DataFrame) -> DataFrame:
     Ordinal 0 is the smallest text in byte order. Empty where the hash kept all texts apart.
     """
     canon = texts.select("digest", F.col("text").alias("__text")).mapInArrow(_digests(128, True), "digest string, __new string").withColumnRenamed("__new", "canonical")
-    mixed = canon.groupBy("digest").agg(F.min("canonical").alias("lo"), F.max("canonical").alias("hi")).where("lo <> hi").select("digest")
+    mixed = written(canon.groupBy("digest").agg(F.min("canonical").alias("lo"), F.max("canonical").alias("hi")).where("lo <> hi").select("digest"), "mixed")
+    if mixed.isEmpty():
+        return texts.sparkSession.createDataFrame([], "digest string, canonical string, ordinal int")
     each = canon.join(mixed, "digest", "left_semi").distinct()
     return each.withColumn("ordinal", F.row_number().over(Window.partitionBy("digest").orderBy("canonical")) - 1)
 
@@ -83,8 +85,8 @@ def group_by_text(docs: DataFrame, bits: int = 128) -> DataFrame:
     Null texts count as empty and form a group of their own with empty ones. Repeated rows are copies.
     """
     marks = written(canonical_digest(docs.select("doc_id", "text"), bits=bits), "marks")
-    dups = marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    flagged = marks.join(dups, "digest", "left_semi")
+    dups = written(marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    flagged = join_counted(marks, dups, "digest", "n", "left_semi")
     texts = flagged.distinct().join(fetch(docs.select("doc_id", "text"), flagged.select("doc_id").distinct()), "doc_id").select("digest", "text")
     clash = written(collisions(texts), "clashes")
     if clash.isEmpty():
@@ -93,8 +95,10 @@ def group_by_text(docs: DataFrame, bits: int = 128) -> DataFrame:
         mixed = flagged.distinct().join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id").select("doc_id", "digest", "__text")
         named = mixed.mapInArrow(_digests(128, True), "doc_id long, digest string, __new string").withColumnRenamed("__new", "canonical").join(clash, ["digest", "canonical"]).select("doc_id", "digest", "ordinal").distinct()
         final = marks.join(named, ["doc_id", "digest"], "left").select("doc_id", _with_ordinal(F.col("digest"), F.col("ordinal")).alias("fingerprint"))
+    final = written(final.select("doc_id", "fingerprint"), "fingerprints")
     groups = final.groupBy("fingerprint").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc_id"))
-    return final.select("doc_id", "fingerprint").join(groups, "fingerprint")
+    groups = written(groups.withColumn("n", F.col("copies")), "groups")
+    return join_counted(final, groups, "fingerprint", "n").select("doc_id", "fingerprint", "copies", "first_doc_id")
 
 
 ROW = "doc_id long, next_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, changed boolean"
@@ -154,26 +158,30 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_next(docs: DataFrame, bits: int = 128) -> DataFrame:
     """Fingerprints of each text, of its edited text, and of the next document in descending doc_id (the last: the first).
 
-    One shuffle of the texts, by ranges of doc_id; a partition's last row meets the next partition's first row among
-    two rows a partition. A null text is empty, a null doc_id comes last, repeated doc_ids are ordered by text, one
-    document follows itself, an empty table gives no rows.
+    One shuffle of the texts, by ranges of doc_id and a hash; a partition's last row meets the next partition's first row
+    among two rows a partition. A null text is empty, a null doc_id comes last, repeated doc_ids are ordered by the
+    hash of their text and the text, one document follows itself, an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(partitions(spark), F.desc("doc_id"), F.desc("text")).sortWithinPartitions(F.desc("doc_id"), F.desc("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    order = [F.desc("doc_id"), F.desc("h")]  # what is sampled for the ranges: two numbers a row
+    ordered = texts.repartitionByRange(partitions_of(docs), *order).sortWithinPartitions(*order, F.desc("text")).drop("h")
     base = written(ordered.mapInArrow(_neighbours(bits), EDGE), "neighbours")
-    order = Window.orderBy("position", "edge")
-    edges = base.where("edge is not null").select("doc_id", "text", "edge", "position")
-    heads = edges.withColumn("next_id", F.lead("doc_id").over(order)).withColumn("next_text", F.lead("text").over(order)).withColumn("rank", F.row_number().over(order))
-    first = edges.withColumn("rank", F.row_number().over(order)).where("rank = 1").select(F.lit(1).alias("one"), F.col("doc_id").alias("first_id"), F.col("text").alias("first_text"))
-    tails = heads.where("edge = 1").withColumn("one", F.lit(1)).join(first, "one")
-    tails = tails.select("doc_id", "text", F.when(F.col("next_text").isNull(), F.col("first_id")).otherwise(F.col("next_id")).alias("next_id"), F.coalesce("next_text", "first_text").alias("next_text"))
+    # first and last rows of the partitions, two numbers each, in one order; their texts follow by a join
+    along = Window.orderBy("position", "edge")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = base.where("edge is not null")
+    heads = edges.select("doc_id", "position", "edge")
+    heads = heads.select("*", *(F.coalesce(F.lead(c).over(along), F.first(c).over(whole)).alias(f"next_{c}") for c in ("position", "edge")))
+    heads = heads.where("edge = 1").select("position", "next_position")
+    following = edges.where("edge = 0").select(F.col("position").alias("next_position"), F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
+    tails = edges.where("edge = 1").select("position", "doc_id", "text").join(heads, "position").join(following, "next_position").select("doc_id", "text", "next_id", "next_text")
     rows = written(base.where("edge is null").select(*(x.split()[0] for x in ROW.split(", "))).unionByName(tails.mapInArrow(_edges(bits), ROW)), "fingerprints")
 
     # bytes are compared wherever two texts, edited or not, share a hash
     marks = rows.select(F.col("fingerprint").alias("digest")).union(rows.where("changed").select("edited_fingerprint"))
-    dups = marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    own = rows.select("doc_id", F.col("fingerprint").alias("digest")).join(dups, "digest", "left_semi").distinct()
-    new = rows.where("changed").select("doc_id", "next_id", F.col("edited_fingerprint").alias("digest")).join(dups, "digest", "left_semi").distinct()
+    dups = written(marks.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    own = join_counted(rows.select("doc_id", F.col("fingerprint").alias("digest")), dups, "digest", "n", "left_semi").distinct()
+    new = join_counted(rows.where("changed").select("doc_id", "next_id", F.col("edited_fingerprint").alias("digest")), dups, "digest", "n", "left_semi").distinct()
     ids = own.select("doc_id").union(new.select("doc_id")).union(new.select(F.col("next_id").alias("doc_id"))).distinct()
     some = written(fetch(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ids), "flagged")
     rebuilt = new.join(some, "doc_id").join(some.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")), "next_id").select("digest", "text", "next_text").mapInArrow(_rebuilt, "digest string, text string")
