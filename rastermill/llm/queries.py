@@ -27,4 +27,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": lambda spark, sf_dir: toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_lines": lines.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_lines": lines.SQL, "op8_warc": warc.SQL}

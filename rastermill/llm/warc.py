@@ -17,12 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns, fresh_path, written
+from .common import columns, fresh_path, join_counted, written
 
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: One date for all records, so that a repeated task writes the same bytes.
 DATE = "2024-01-01T00:00:00Z"
+#: Uncompressed bytes of an archive by the records' mean size, and bytes of a batch of records read.
+ARCHIVE_BYTES, READ_BYTES = 256 << 20, 4 << 20
+#: So many payload digests (20 bytes and an id each) may be broadcast.
+FEW_PAYLOADS = 200_000
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 
 
@@ -50,7 +54,7 @@ def member(data: bytes, level: int = 6) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def members(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+def members(data: bytes | pa.Buffer, step: int = 1 << 16) -> Iterator[bytes]:
     """The gzip members of an archive, one after the other, inflated a step at a time. A cut member is an error."""
     view, at = memoryview(data), 0
     while at < len(view):
@@ -97,7 +101,7 @@ def parse(data: bytes) -> dict:
     return fields
 
 
-def read_records(data: bytes) -> Iterator[dict]:
+def read_records(data: bytes | pa.Buffer) -> Iterator[dict]:
     yield from map(parse, members(data))
 
 
@@ -113,14 +117,27 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _read(with_payload: bool):
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+
+    def number(x: str | None) -> int | None:
+        return int(n) if x and (n := x.strip("<>").rpartition(":")[2]) else None
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: int(n) if x and (n := x.strip("<>").rpartition(":")[2]) else None
         for batch in batches:
-            for (data,) in zip(*columns(batch, "content"), strict=True):
-                rows = [(number(r["warc-record-id"]), r["payload_bytes"], r["warc-payload-digest"].removeprefix("sha1:"), r["warc-type"], number(r.get("warc-refers-to")), r.get("warc-target-uri"), r["payload"] if with_payload else None) for r in read_records(data)]
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+            for data in batch.column(batch.schema.get_field_index("content")):
+                rows, size = [], 0
+                for r in read_records(data.as_buffer()):
+                    rows.append((number(r["warc-record-id"]), r["payload_bytes"], r["warc-payload-digest"].removeprefix("sha1:"), r["warc-type"], number(r.get("warc-refers-to")), r.get("warc-target-uri"), r["payload"] if with_payload else None))
+                    size += 200 + (len(r["payload"]) if with_payload else 0)
+                    if size > READ_BYTES:
+                        yield out(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
+                    yield out(rows)
 
     return run
 
@@ -133,10 +150,19 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 0) -> list[
     number; repeated rows of the smallest id are responses each. An empty table writes no record.
     """
     spark = pages.sparkSession
-    rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("key", F.sha1("payload"))
-    firsts = rows.where(F.length("payload") >= revisit_bytes).groupBy("key").agg(F.min("page_id").alias("first_id"))
-    typed = rows.join(firsts, "key", "left").select("page_id", "url", "payload", F.when((F.col("first_id") < F.col("page_id")) & (F.length("payload") >= revisit_bytes), F.col("first_id")).alias("refers_to"))
-    typed.mapInArrow(_write, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\u0000").text(path)
+    rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("key", F.unhex(F.sha1("payload")))
+    about = rows.agg(F.count("*").alias("n"), F.sum(F.length("payload")).alias("bytes")).first()
+    # the payloads stay where they are: only keys of several pages, with their smallest page, go to them
+    same = rows.where(F.length("payload") >= revisit_bytes).groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    same = written(same, "repeated-payloads")
+    if same.count() <= FEW_PAYLOADS:
+        met = rows.join(F.broadcast(same.drop("n")), "key", "left")
+    else:
+        met = join_counted(rows, same, "key", "n", "left")
+    typed = met.select("page_id", "url", "payload", F.when(F.col("first_id") < F.col("page_id"), F.col("first_id")).alias("refers_to"))
+    each = max(1, ARCHIVE_BYTES * about["n"] // max(1, (about["bytes"] or 0) + 500 * about["n"]))
+    out = typed.mapInArrow(_write, "value binary").select(F.col("value").cast("string").alias("value"))
+    out.write.option("lineSep", "\u0000").option("maxRecordsPerFile", each).text(path)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -162,3 +188,17 @@ def query(pages: DataFrame) -> DataFrame:
     path = fresh_path(pages.sparkSession, "warc")
     write_archives(pages, path)
     return read_archives(pages.sparkSession, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The digest in base32: each ten hexadecimal digits are eight letters of five bits.
+_BASE32 = f"""array_to_string(list_transform(range(0, 32), lambda i: substr('{_LETTERS}',
+  ((('0x' || substr(h, (1 + 10 * (i // 8))::INT, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1)), '')"""
+SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT t, min(page_id) AS first_id FROM p GROUP BY t)
+SELECT page_id, strlen(p.t)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id < page_id THEN first_id END AS refers_to, url
+FROM p JOIN f ON p.t = f.t
+"""
