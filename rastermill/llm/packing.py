@@ -18,11 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, partitions, small_batches, written
+from .common import columns, partitions_of, small_batches, written
 
 SEQUENCE = 1024
 SEPARATOR_ID = 0
 VECTOR, DIMENSIONS, CURVE_BITS = 256, 3, 10
+#: Stored bytes of token ids to a range, so that tasks don't grow with the corpus.
+RANGE_BYTES = 32 << 20
 _PROJECTION = np.random.default_rng(3).normal(0, 1, (VECTOR, DIMENSIONS))
 
 
@@ -167,9 +169,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, sequence: int = SEQ
     doc_ids are packed each, a null doc_id as well. Token ids are written once in the shared folder, so the range sort
     and lost executors repeat no tokenizing.
     """
-    spark = docs.sparkSession
     ids = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenized(tokenizer_path), "doc_id long, key long, doc_tokens long, ids binary"), "token-ids")
-    along = ids.repartitionByRange(partitions(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
+    along = ids.repartitionByRange(partitions_of(ids, RANGE_BYTES), "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
     return along.mapInArrow(_packed(sequence), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
