@@ -67,8 +67,6 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "rank-per-region":
         if not a.tiled and (a.resolution or a.region_code):
             p.error("--resolution and --region-code are only honoured with --tiled")
-        if a.resolution:
-            commands.parse_resolution(a.resolution)
         if a.method == "topsis" and a.out:
             a.out = os.path.join(a.out, "topsis")
     spark = SparkSession.builder.appName("rastermill").getOrCreate()
@@ -82,9 +80,13 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "rank":
         df = commands.rank_sites(read(a.scored), grid, a.n, a.min_distance_km * 1000, a.min_score, a.out)
     elif a.command == "rank-per-region":
-        df = commands.rank_per_region(read(a.scored), tables.read_regions(spark, a.regions), grid, a.n, a.min_distance_km * 1000, codes=a.region_code, out=a.out)
+        regions, far = tables.read_regions(spark, a.regions), a.min_distance_km * 1000
+        if a.tiled:
+            df = commands.rank_tiled(read(a.scored), regions, grid, commands.parse_resolution(a.resolution or "20m"), n=a.n, min_distance_m=far, codes=a.region_code, out=a.out)
+        else:
+            df = commands.rank_per_region(read(a.scored), regions, grid, a.n, far, out=a.out)
     elif a.command == "score-sites":
-        df = commands.score_catalog(read(a.scored), tables.read_catalog(spark, a.catalog), grid, a.out)
+        df = commands.score_catalog(read(a.scored), tables.read_catalog(spark, a.catalog), grid, out=a.out)
     elif a.command == "compare":
         catalog = tables.read_catalog(spark, a.catalog).select(F.col("site_id").alias("b_id"), "x", "y")
         df = commands.compare_catalogs(read(a.sites).select(F.col("site_id").alias("a_id"), F.col("x_m").alias("x"), F.col("y_m").alias("y")), catalog, a.km, a.out)

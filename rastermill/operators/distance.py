@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import positive
 from .focal import disc_offsets
+from .spatial import nearest
 
 
 def _envelope(g: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -86,3 +87,9 @@ def densified(lines: DataFrame, spacing_m: float = 1000.0) -> DataFrame:
     g, length = F.get("segments", F.col("i")), F.get("lengths", F.col("i"))
     share = F.when(length > 0, (F.col("at") - (F.get("ends", F.col("i")) - length)) / length).otherwise(0.0)
     return rows.select("line_id", F.col("k").cast("long").alias("k"), (g["a"]["x"] + share * (g["b"]["x"] - g["a"]["x"])).alias("x"), (g["a"]["y"] + share * (g["b"]["y"] - g["a"]["y"])).alias("y"))
+
+
+def feature_distance(a: DataFrame, points: DataFrame, array_rows: int = 50_000) -> DataFrame:
+    """(a_id, x, y) x (b_id, x, y) of densified features -> a_id, km to the nearest; infinite where there is no feature at all."""
+    found = nearest(a, points, array_rows=array_rows)
+    return found.select("a_id", F.coalesce(F.col("distance_m") / 1000, F.lit(float("inf"))).alias("km"))

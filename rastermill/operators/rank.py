@@ -82,3 +82,8 @@ def nearest_sample(samples: DataFrame, default: dict[str, float]) -> DataFrame:
     """The sample of the smallest L1 distance to the default weights; the first on ties."""
     gap = sum((F.abs(F.col(c) - w) for c, w in default.items()), F.lit(0.0))
     return samples.withColumn("gap", gap).agg(F.min_by("sample_id", F.struct("gap", "sample_id")).alias("sample_id"), F.min("gap").alias("gap"))
+
+
+def best_distance(results: DataFrame, by: str, distance: str = "distance_km") -> DataFrame:
+    """The row of a distance sweep with the most of `by`; the first distance on ties."""
+    return results.orderBy(F.desc(by), distance).limit(1)

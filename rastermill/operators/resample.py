@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,27 +26,29 @@ def _weights(kernel: str, f):
     return [(-1, far(1 + f)), (0, near(f)), (1, near(1 - f)), (2, far(2 - f))]
 
 
-def resampled(source: DataFrame, source_grid: GridSpec, target: DataFrame, layer: str, method: str = "bilinear", target_grid: GridSpec | None = None) -> DataFrame:
-    """(row, col, layer) of target cells (row, col, x, y in the source's coordinates).
+def resampled(source: DataFrame, source_grid: GridSpec, target: DataFrame, layer: str | Sequence[str], method: str = "bilinear", target_grid: GridSpec | None = None) -> DataFrame:
+    """(row, col, layer or layers) of target cells (row, col, x, y in the source's coordinates).
 
     nearest and the interpolating kernels (bilinear, cubic) join the needed source cells by key, whose weights are
     renormalised over known cells; min, max, mean and median gather source cells by target cell (target_grid needed).
     """
+    layers = [layer] if isinstance(layer, str) else list(layer)
     if method in GATHERED:
         if target_grid is None:
             raise ValueError(f"{method} needs target_grid")
-        at = source.select(target_grid.row(source_grid.y(F.col("row"))).alias("row"), target_grid.col(source_grid.x(F.col("col"))).alias("col"), layer)
-        return target.select("row", "col").join(at.groupBy("row", "col").agg(GATHERED[method](layer).alias(layer)), ["row", "col"], "left")
+        at = source.select(target_grid.row(source_grid.y(F.col("row"))).alias("row"), target_grid.col(source_grid.x(F.col("col"))).alias("col"), *layers)
+        return target.select("row", "col").join(at.groupBy("row", "col").agg(*(GATHERED[method](x).alias(x) for x in layers)), ["row", "col"], "left")
     u, v = (F.col("x") - source_grid.left) / source_grid.pixel - 0.5, (source_grid.top - F.col("y")) / source_grid.pixel - 0.5
-    cells = source.select(F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(layer).alias("__v"))
+    cells = source.select(F.col("row").alias("sr"), F.col("col").alias("sc"), *layers)
     if method == "nearest":
-        return target.select("row", "col", F.rint(v).cast("long").alias("sr"), F.rint(u).cast("long").alias("sc")).join(cells, ["sr", "sc"], "left").select("row", "col", F.col("__v").alias(layer))
+        return target.select("row", "col", F.rint(v).cast("long").alias("sr"), F.rint(u).cast("long").alias("sc")).join(cells, ["sr", "sc"], "left").select("row", "col", *layers)
     if method not in ("bilinear", "cubic"):
         raise ValueError(f"unknown method {method!r}")
     at = target.select("row", "col", F.floor(v).alias("r0"), F.floor(u).alias("c0"), (v - F.floor(v)).alias("fr"), (u - F.floor(u)).alias("fc"))
     corners = F.array(*(F.struct((F.col("r0") + dr).alias("sr"), (F.col("c0") + dc).alias("sc"), (wr * wc).alias("w")) for dr, wr in _weights(method, F.col("fr")) for dc, wc in _weights(method, F.col("fc"))))
     spread = at.select("row", "col", F.explode(corners).alias("k")).select("row", "col", "k.sr", "k.sc", "k.w")
-    known = spread.where("w <> 0").join(cells, ["sr", "sc"]).where("__v is not null").groupBy("row", "col").agg((F.sum(F.col("w") * F.col("__v")) / F.nullif(F.sum("w"), F.lit(0.0))).alias(layer))
+    mean = lambda x: (F.sum(F.col("w") * F.col(x)) / F.nullif(F.sum(F.when(F.col(x).isNotNull(), F.col("w"))), F.lit(0.0))).alias(x)
+    known = spread.where("w <> 0").join(cells, ["sr", "sc"]).groupBy("row", "col").agg(*map(mean, layers))
     return target.select("row", "col").join(known, ["row", "col"], "left")
 
 

@@ -61,7 +61,7 @@ def nearest(a: DataFrame, b: DataFrame, start_m: float = 10_000.0, broadcast_row
             if size < extent:
                 now = now.where(F.col("best.d") <= size)
             found = now if found is None else found.unionByName(now)
-            if size >= extent:
+            if size >= extent or a.join(found.select("a_id"), "a_id", "left_anti").isEmpty():
                 break
             todo, size = todo.join(now.select("a_id"), "a_id", "left_anti"), size * 2
     return a.select("a_id").join(found, "a_id", "left").select("a_id", F.col("best.b_id").alias("b_id"), F.col("best.d").alias("distance_m"))

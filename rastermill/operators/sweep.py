@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rank import separated
-from .validate import matches
+from .spatial import BROADCAST_ROWS, radius_join
 
 
 def latin_hypercube(spark: SparkSession, n: int, names: Sequence[str], seed: int = 42) -> DataFrame:
@@ -24,13 +24,14 @@ def latin_hypercube(spark: SparkSession, n: int, names: Sequence[str], seed: int
 
 
 def sweep_scores(cells: DataFrame, samples: DataFrame, scores: Mapping[str, str]) -> DataFrame:
-    """(sample_id, row, col, score) for every sample of weights (a bounded, broadcast table) and cell."""
+    """(sample_id, row, col, score) for every sample of weights and cell; up to BROADCAST_ROWS samples are broadcast."""
     if not scores:
         raise ValueError("no criteria")
     weights = samples.select("sample_id", *(F.col(n).alias(f"__w_{n}") for n in scores))
     total = sum((F.col(f"__w_{n}") for n in scores), F.lit(0.0))
     score = sum((F.col(f"__w_{n}") / total * F.col(c) for n, c in scores.items()), F.lit(0.0))
-    return cells.join(F.broadcast(weights), F.lit(True)).select("sample_id", "row", "col", score.alias("score"))
+    few = weights.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return cells.crossJoin(F.broadcast(weights) if few else weights).select("sample_id", "row", "col", score.alias("score"))
 
 
 def sweep_sites(scored: DataFrame, n: int, min_distance_m: float, pixel: float) -> DataFrame:
@@ -38,12 +39,24 @@ def sweep_sites(scored: DataFrame, n: int, min_distance_m: float, pixel: float)
     return separated(scored.where("score is not null"), ["sample_id"], n, min_distance_m, pixel)
 
 
-def sweep_metrics(sites: DataFrame, centroids: DataFrame, x: Column, y: Column, near_km: float) -> DataFrame:
-    """Per sample: n_sites, sites within near_km of a centroid, mean score."""
+def sweep_metrics(sites: DataFrame, centroids: DataFrame, x: Column, y: Column, near_km: float, far_km: float | None = None) -> DataFrame:
+    """Per sample: n_sites, sites within near_km and within far_km of a centroid, centroids with a site within near_km, mean score.
+
+    Sites and centroids meet in buckets of far_km, so neither side is broadcast.
+    """
+    far = near_km if far_km is None else max(near_km, far_km)
     named = sites.withColumn("a_id", F.monotonically_increasing_id()) if "a_id" not in sites.columns else sites
     placed = named.withColumn("x", x).withColumn("y", y)
-    found = matches(placed.select("a_id", "x", "y"), centroids, near_km)
-    return placed.join(found, "a_id").groupBy("sample_id").agg(F.count("*").alias("n_sites"), F.count_if("matched").alias("sites_near"), F.avg("score").alias("mean_score"))
+    pairs = radius_join(placed.select("sample_id", "a_id", "x", "y"), centroids.select("b_id", "x", "y"), far * 1000)
+    near = F.col("distance_m") <= near_km * 1000
+    met = pairs.groupBy("sample_id").agg(F.count_distinct(F.when(near, F.col("a_id"))).alias("sites_near"), F.count_distinct("a_id").alias("sites_far"), F.count_distinct(F.when(near, F.col("b_id"))).alias("regions_near"))
+    rows = placed.groupBy("sample_id").agg(F.count("*").alias("n_sites"), F.avg("score").alias("mean_score")).join(met, "sample_id", "left")
+    return rows.select("sample_id", "n_sites", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sites_near", "sites_far", "regions_near")), "mean_score")
+
+
+def scores_at(cells: DataFrame, samples: DataFrame, scores: Mapping[str, str]) -> DataFrame:
+    """(sample_id, mean_at): each sample's mean score over some cells, those of the centroids for instance; unknown scores don't count."""
+    return sweep_scores(cells, samples, scores).groupBy("sample_id").agg(F.avg("score").alias("mean_at"))
 
 
 def sweep_distance(cells: DataFrame, distances_km: Sequence[float], score: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spatial import contains, nearest, ring_edges, signed_edge_distance
+from .spatial import BROADCAST_ROWS, contains, nearest, ring_edges, signed_edge_distance
 
 
 def zonal_area(cells: DataFrame, eligible: DataFrame, pixel: float, region: str = "region") -> DataFrame:
@@ -90,14 +90,40 @@ def disagreements(found: DataFrame, n: int = 3) -> DataFrame:
     return found.where(~F.col("matched")).orderBy(F.desc(F.coalesce("distance_km", F.lit(0.0))), "a_id").limit(n)
 
 
+def _beside(sites: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Every site with every shape: few shapes are broadcast after a count, more meet the sites on executors."""
+    few = shapes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return sites.crossJoin(F.broadcast(shapes) if few else shapes)
+
+
 def polygon_distances(sites: DataFrame, polygons: DataFrame) -> DataFrame:
     """(a_id, x, y) x (ordinal, region, ring) -> the containing region (first in order), or the nearest, and the signed distance."""
     rings = polygons.select("ordinal", "region", ring_edges(F.col("ring")).alias("edges"))
-    pairs = sites.join(F.broadcast(rings), F.lit(True)).withColumn("inside", contains(F.col("edges"), F.col("x"), F.col("y"))).withColumn("signed", signed_edge_distance(F.col("edges"), F.col("x"), F.col("y")))
+    pairs = _beside(sites, rings).withColumn("inside", contains(F.col("edges"), F.col("x"), F.col("y"))).withColumn("signed", signed_edge_distance(F.col("edges"), F.col("x"), F.col("y")))
     pick = F.struct(F.when(F.col("inside"), 0).otherwise(1), F.when(F.col("inside"), 0.0).otherwise(F.col("signed")), F.col("ordinal"))
     return pairs.groupBy("a_id").agg(F.min_by("region", pick).alias("region"), F.bool_or("inside").alias("inside"), F.min("signed").alias("signed_m"))
 
 
+def _to_disks(sites: DataFrame, disks: DataFrame) -> DataFrame:
+    shapes = disks.select("b_id", F.col("x").alias("bx"), F.col("y").alias("by"), "radius_km", ring_edges(F.col("ring")).alias("edges"))
+    x, y = F.col("x"), F.col("y")
+    pairs = _beside(sites.select("a_id", "x", "y"), shapes).withColumn("inside", contains(F.col("edges"), x, y)).withColumn("edge_km", signed_edge_distance(F.col("edges"), x, y) / 1000)
+    return pairs.select("a_id", "b_id", "radius_km", "inside", "edge_km", (F.hypot(x - F.col("bx"), y - F.col("by")) / 1000).alias("km"))
+
+
+def sites_by_disks(sites: DataFrame, disks: DataFrame) -> DataFrame:
+    """(a_id, x, y) x (b_id, x, y, radius_km, ring) -> each site's nearest centre, distance to it, signed distance to the nearest rim, and whether a disk holds it."""
+    return _to_disks(sites, disks).groupBy("a_id").agg(F.min_by("b_id", F.struct("km", "b_id")).alias("b_id"), F.min("km").alias("distance_km"), F.min("edge_km").alias("edge_km"), F.bool_or("inside").alias("inside"))
+
+
+def disks_by_sites(sites: DataFrame, disks: DataFrame) -> DataFrame:
+    """Each disk's nearest site, the distance of its centre and of its rim (signed) to that site, whether it holds a site, and whether
+    the nearest one lies inside or no farther from the rim than the radius."""
+    near = F.struct("km", "a_id")
+    rows = _to_disks(sites, disks).groupBy("b_id").agg(F.min_by("a_id", near).alias("a_id"), F.min("km").alias("distance_km"), F.min_by("edge_km", near).alias("edge_km"), F.bool_or("inside").alias("contains"), F.first("radius_km").alias("radius_km"))
+    return rows.withColumn("within_radius", F.col("edge_km") <= F.col("radius_km")).drop("radius_km")
+
+
 def proximity(sites: DataFrame, centroids: DataFrame, near_km: float) -> DataFrame:
     """One row: sites, those within near_km of a centroid, centroids with a site within near_km, median distance."""
     forth = matches(sites, centroids, near_km)
@@ -106,6 +132,33 @@ def proximity(sites: DataFrame, centroids: DataFrame, near_km: float) -> DataFra
     return left.join(back.agg(F.count("*").alias("n_regions"), F.count_if("matched").alias("regions_near")).withColumn("one", F.lit(1)), "one").drop("one")
 
 
+#: Launch years that a catalog's lit days cover, and the headline year (fixed values).
+FIRST_YEAR, LAST_YEAR, HEADLINE_YEAR = 2025, 2032, 2028
+
+
+def launch_year_sites(found: DataFrame, catalog: DataFrame, columns: Mapping[int, str], threshold: int = 10, headline: int = HEADLINE_YEAR) -> DataFrame:
+    """matches() x catalog (b_id, lit days a year) -> a row a site: its match, days by year, and whether the headline or any year has enough.
+
+    A site without a match has NULLs and passes nothing; a match without days counts as 0.
+    """
+    if threshold <= 0:
+        raise ValueError(f"the threshold is {threshold!r} days")
+    if wrong := [y for y in (*columns, headline) if not FIRST_YEAR <= y <= LAST_YEAR]:
+        raise ValueError(f"years {wrong} lie outside {FIRST_YEAR}-{LAST_YEAR}")
+    if headline not in columns:
+        raise ValueError(f"no column for {headline}")
+    days = {y: F.coalesce(F.col(c).cast("long"), F.lit(0)) for y, c in sorted(columns.items())}
+    enough = lambda *ys: F.coalesce(F.greatest(F.lit(False), *(F.col("matched") & (days[y] >= threshold) for y in ys)), F.lit(False))
+    rows = found.join(catalog.select("b_id", *columns.values()), "b_id", "left")
+    by_year = F.create_map(*(x for y, d in days.items() for x in (F.lit(y), d)))
+    matched = lambda c: F.when(F.col("matched"), c)
+    return rows.select("a_id", "matched", matched(F.col("b_id")).alias("b_id"), matched(F.col("distance_km")).alias("distance_km"), matched(by_year).alias("days"), enough(headline).alias("passes_headline"), enough(*days).alias("passes_any"))
+
+
+def launch_year_totals(sites: DataFrame) -> DataFrame:
+    return sites.agg(F.count("*").alias("n_sites"), F.count_if("matched").alias("n_matched"), F.count_if("passes_headline").alias("passes_headline"), F.count_if("passes_any").alias("passes_any"))
+
+
 def launch_years(found: DataFrame, catalog: DataFrame, columns: Mapping[int, str], threshold: int = 10) -> DataFrame:
     """matches() x catalog (b_id, one column of lit days a year) -> year, passes: matched sites with at least threshold days."""
     if not columns:

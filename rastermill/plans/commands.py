@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import crs
+from ..functions import crs, local
 from ..operators import aggregate, focal, rank, sweep, validate
-from ..operators.grid import GridSpec, sample_nearest
+from ..operators.grid import GridSpec, sample_nearest, tile_specs
+from ..operators.resample import resampled
 from ..operators.spatial import point_density, polygon_cells
 from ..sources import tables
 from .registry import scores_for
@@ -84,22 +85,70 @@ def rank_sites(scored: DataFrame, grid: GridSpec, n: int = 20, min_distance_m: f
     return saved(_with_scores(_located(rank.top_sites(scored, n, min_distance_m, min_score, grid.pixel), grid), scored), out)
 
 
-def rank_per_region(scored: DataFrame, regions: DataFrame, grid: GridSpec, n: int = 10, min_distance_m: float = 2000.0, buffer_m: float = 100.0, codes: Sequence[str] | None = None, out: str | None = None) -> DataFrame:
-    """Regions are (ordinal, region, code, ring); a tiled run calls this with a finer grid and one region's cells."""
-    if codes:
-        regions = regions.where(F.upper("code").isin([c.upper() for c in codes]))
-    fit = rank.compliant_cells(scored, grid.pixel, buffer_m=buffer_m, illumination="illumination", visibility="visibility")
+def _ranked(cells: DataFrame, regions: DataFrame, grid: GridSpec, n: int, min_distance_m: float, buffer_m: float) -> DataFrame:
+    fit = rank.compliant_cells(cells, grid.pixel, buffer_m=buffer_m, illumination="illumination", visibility="visibility")
     placed = fit.select("row", "col", "score", grid.x(F.col("col")).alias("x"), grid.y(F.col("row")).alias("y"))
     inside = polygon_cells(placed, regions.select("ordinal", "region", "code", "ring"), grid.pixel)
     found = rank.top_sites_per_region(inside.withColumn("zone", F.struct("ordinal", "region", "code")).select("row", "col", "score", F.to_json("zone").alias("zone")), "zone", n, min_distance_m, grid.pixel)
     zone = F.from_json("zone", "ordinal long, region string, code string")
     found = found.select("site_id", zone["region"].alias("region_name"), zone["code"].alias("region_code"), "rank_in_region", "row", "col", "score")
-    return saved(_with_scores(_located(found, grid), scored).withColumn("hls_compliant", F.lit(True)), out)
+    return _with_scores(_located(found, grid), cells).withColumn("hls_compliant", F.lit(True))
+
 
+def _with_codes(regions: DataFrame, codes: Sequence[str] | None) -> DataFrame:
+    return regions.where(F.upper("code").isin([c.upper() for c in codes])) if codes else regions
 
-def score_catalog(scored: DataFrame, catalog: DataFrame, grid: GridSpec, out: str | None = None) -> DataFrame:
-    """Each catalog site with the layers and scores of its nearest cell."""
-    return saved(sample_nearest(catalog, scored, grid, clamp=True), out)
+
+def rank_per_region(scored: DataFrame, regions: DataFrame, grid: GridSpec, n: int = 10, min_distance_m: float = 2000.0, buffer_m: float = 100.0, codes: Sequence[str] | None = None, out: str | None = None) -> DataFrame:
+    """The best compliant sites of each region (ordinal, region, code, ring) on the scores' own grid."""
+    return saved(_ranked(scored, _with_codes(regions, codes), grid, n, min_distance_m, buffer_m), out)
+
+
+def rank_tiled(scored: DataFrame, regions: DataFrame, grid: GridSpec, resolution_m: float = 20.0, around_m: float = 1000.0, n: int = 10, min_distance_m: float = 2000.0, buffer_m: float = 100.0, codes: Sequence[str] | None = None, elevation: DataFrame | None = None, elevation_grid: GridSpec | None = None, out: str | None = None) -> DataFrame:
+    """The best compliant sites of each region on a finer tile of its own: elevation, score, illumination and visibility are
+    interpolated to the tile (bilinear), the slope is derived there, and the filters hold at that resolution.
+
+    elevation (row, col, z) may have a grid of its own; otherwise z of the scored cells is taken. One plan a region, of which
+    there are few; only the cells around a region take part in it.
+    """
+    layers = ["score", "illumination", "visibility", *(c for c in scored.columns if c.startswith("score_"))]
+    heights, heights_grid = (scored, grid) if elevation is None else (elevation, elevation_grid or grid)
+    chosen = _with_codes(regions, codes)
+    specs = tile_specs(chosen.select("ordinal", F.inline("ring")), around_m, resolution_m, "ordinal").orderBy("ordinal").collect()
+    found = None
+    for s in specs:
+        tile = GridSpec(s["xmin"], s["ymax"], resolution_m, s["height"], s["width"])
+        target = tile.cells(scored.sparkSession).withColumn("x", tile.x(F.col("col"))).withColumn("y", tile.y(F.col("row")))
+
+        def around(cells: DataFrame, g: GridSpec, s=s) -> DataFrame:
+            x, y = g.x(F.col("col")), g.y(F.col("row"))
+            return cells.where(x.between(s["xmin"] - 2 * g.pixel, s["xmax"] + 2 * g.pixel) & y.between(s["ymin"] - 2 * g.pixel, s["ymax"] + 2 * g.pixel))
+
+        z = focal.slope_degrees(resampled(around(heights, heights_grid), heights_grid, target, "z"), resolution_m)
+        cells = z.join(resampled(around(scored, grid), grid, target, layers), ["row", "col"])
+        sites = _ranked(cells, chosen.where(F.col("ordinal") == s["ordinal"]), tile, n, min_distance_m, buffer_m).withColumn("__ordinal", F.lit(s["ordinal"]))
+        found = sites if found is None else found.unionByName(sites)
+    if found is None:
+        raise ValueError("no region to rank")
+    ids = F.row_number().over(Window.orderBy("__ordinal", "rank_in_region")).cast("long")  # n sites a region
+    return saved(found.withColumn("site_id", ids).drop("__ordinal").withColumn("resolution_m", F.lit(float(resolution_m))), out)
+
+
+def score_catalog(scored: DataFrame, catalog: DataFrame, grid: GridSpec, in_scope_only: bool = True, out: str | None = None) -> DataFrame:
+    """Each catalog site with the layers and scores of its nearest cell, in fixed columns; layers that scored lacks are NULL.
+
+    A catalog with in_scope is cut to the sites in scope unless in_scope_only is off. The buffer around steep cells is no
+    part of hls_compliant here.
+    """
+    if in_scope_only and "in_scope" in catalog.columns:
+        catalog = catalog.where("in_scope")
+    names = {"score": "aggregate_score", **{f"score_{c}": f"score_{c}" for c in aggregate.CRITERIA}, "slope": "slope_deg", "illumination": "illumination", "visibility": "los_visibility"}
+    layer = lambda c: (F.col(c) if c in scored.columns else F.lit(None)).cast("double")
+    cells = scored.select("row", "col", *(layer(c).alias(f"__{new}") for c, new in names.items()))
+    own = [c for c in ("site_id", "region", "in_scope", "lat", "lon") if c in catalog.columns]
+    rows = sample_nearest(catalog.select(*own, "x", "y"), cells, grid, clamp=True)
+    compliant = local.hls_compliant(F.col("__slope_deg"), F.col("__illumination"), F.col("__los_visibility"))
+    return saved(rows.select(*own, F.col("x").alias("x_m"), F.col("y").alias("y_m"), *(F.col(f"__{new}").alias(new) for new in names.values()), compliant.alias("hls_compliant")), out)
 
 
 def compare_catalogs(a: DataFrame, b: DataFrame, km: float = 5.0, out: str | None = None) -> DataFrame:
@@ -114,13 +163,15 @@ def validate_per_region(regions: DataFrame, sites: DataFrame, areas: DataFrame,
     return saved(validate.compliance(regions, sites, areas), out)
 
 
-def sensitivity(spark: SparkSession, scored: DataFrame, criteria: Sequence[str], centroids: DataFrame, grid: GridSpec, samples: int = 100, n: int = 20, min_distance_m: float = 25_000.0, near_km: float = 25.0, seed: int = 42, out: str | None = None) -> DataFrame:
+def sensitivity(spark: SparkSession, scored: DataFrame, criteria: Sequence[str], centroids: DataFrame, grid: GridSpec, samples: int = 100, n: int = 20, min_distance_m: float = 25_000.0, near_km: float = 25.0, far_km: float = 100.0, seed: int = 42, out: str | None = None) -> DataFrame:
     """Metrics of the top sites for each Latin hypercube sample of the criteria's weights."""
     weights = sweep.latin_hypercube(spark, samples, list(criteria), seed)
     every = sweep.sweep_scores(scored, weights, {c: f"score_{c}" for c in criteria})
     sites = sweep.sweep_sites(every, n, min_distance_m, grid.pixel).withColumn("a_id", F.col("sample_id") * 100_000 + F.col("rank"))
-    found = sweep.sweep_metrics(sites, centroids, grid.x(F.col("col")), grid.y(F.col("row")), near_km)
-    return saved(weights.join(found, "sample_id", "left"), out)
+    found = sweep.sweep_metrics(sites, centroids, grid.x(F.col("col")), grid.y(F.col("row")), near_km, far_km)
+    at = centroids.select(grid.row(F.col("y")).alias("row"), grid.col(F.col("x")).alias("col")).distinct()
+    known = sweep.scores_at(scored.join(at, ["row", "col"], "left_semi"), weights, {c: f"score_{c}" for c in criteria})
+    return saved(weights.join(found, "sample_id", "left").join(known, "sample_id", "left"), out)
 
 
 def coupling_sweep(scored: DataFrame, distances_km: Sequence[float] = (1, 2, 3, 5, 7, 10, 15, 20), weight: float = 0.20, psr: str = "psr_km", ridge: str = "ridge_km", out: str | None = None) -> DataFrame:

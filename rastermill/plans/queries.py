@@ -264,8 +264,8 @@ def _densify(spark, sf_dir):
 @query("dst_scarps", f'WITH {CELLS}, {_LINES} SELECT "row", col, (round(min(sqrt(({X} - x) ** 2 + ({Y} - y) ** 2)) / 1000, 3) + 0.0) AS km FROM cells, dense GROUP BY ALL')
 def _to_scarps(spark, sf_dir):
     a = b.cells(spark, sf_dir).select((F.col("row") * b.WIDTH + F.col("col")).alias("a_id"), b.grid().x(F.col("col")).alias("x"), b.grid().y(F.col("row")).alias("y"))
-    found = spatial.nearest(a, _scarps(spark, sf_dir).select((F.col("line_id") * 100 + F.col("k")).alias("b_id"), "x", "y"), array_rows=50_000)
-    return found.select(F.expr(f"a_id div {b.WIDTH}").alias("row"), (F.col("a_id") % b.WIDTH).alias("col"), (F.round(F.col("distance_m") / 1000, 3) + 0.0).alias("km"))
+    found = distance.feature_distance(a, _scarps(spark, sf_dir).select((F.col("line_id") * 100 + F.col("k")).alias("b_id"), "x", "y"))
+    return found.select(F.expr(f"a_id div {b.WIDTH}").alias("row"), (F.col("a_id") % b.WIDTH).alias("col"), (F.round("km", 3) + 0.0).alias("km"))
 
 
 # --- joins, resampling, rasterising ---------------------------------------------------------------------------------------------
@@ -495,6 +495,46 @@ def _years(spark, sf_dir):
     return validate.launch_years(found, catalog, local.resolve_years(catalog.columns, [2025, 2030]))
 
 
+def _year_sites(spark, sf_dir):
+    catalog = b.catalog(spark, sf_dir)
+    found = validate.matches(b.sites(spark, sf_dir).select("a_id", "x", "y"), catalog.select("b_id", "x", "y"), 5.0)
+    return validate.launch_year_sites(found, catalog, local.resolve_years(catalog.columns, [2025, 2030]), headline=2030)
+
+
+@query("agg_launch_sites", f"WITH {SITES}, {CATALOG}, {_MATCHES} SELECT a_id, CASE WHEN km <= 5 THEN b_id END AS b_id, CASE WHEN km <= 5 THEN {sql6('km')} END AS km, CASE WHEN km <= 5 THEN d25 END AS d25, CASE WHEN km <= 5 THEN d30 END AS d30, km <= 5 AND d30 >= 10 AS passes_headline, km <= 5 AND (d25 >= 10 OR d30 >= 10) AS passes_any FROM m JOIN catalog USING (b_id)")
+def _launch_sites(spark, sf_dir):
+    rows = _year_sites(spark, sf_dir)
+    return rows.select("a_id", "b_id", r6("distance_km").alias("km"), *(F.col("days")[y].alias(f"d{y % 100}") for y in (2025, 2030)), "passes_headline", "passes_any")
+
+
+@query("agg_launch_totals", f"WITH {SITES}, {CATALOG}, {_MATCHES} SELECT count(*) AS n_sites, count(*) FILTER (WHERE km <= 5) AS n_matched, count(*) FILTER (WHERE km <= 5 AND d30 >= 10) AS passes_headline, count(*) FILTER (WHERE km <= 5 AND (d25 >= 10 OR d30 >= 10)) AS passes_any FROM m JOIN catalog USING (b_id)")
+def _launch_totals(spark, sf_dir):
+    return validate.launch_year_totals(_year_sites(spark, sf_dir))
+
+
+_DISKS = f"""rim AS (SELECT b_id, x + 1500 * cos(k * (2 * pi() / 64)) AS x0, y + 1500 * sin(k * (2 * pi() / 64)) AS y0, x + 1500 * cos((k + 1) % 64 * (2 * pi() / 64)) AS x1, y + 1500 * sin((k + 1) % 64 * (2 * pi() / 64)) AS y1 FROM catalog, range(0, 64) r(k)),
+near AS (SELECT *, least(1.0, greatest(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) AS t FROM (SELECT a_id, x, y FROM sites) s, rim),
+per AS (SELECT a_id, b_id, {_CROSS} AS inside, min({_SEGMENT}) / 1000 AS e FROM near GROUP BY a_id, b_id),
+d AS (SELECT p.a_id, p.b_id, inside, CASE WHEN inside THEN -e ELSE e END AS edge, sqrt((s.x - c.x) ** 2 + (s.y - c.y) ** 2) / 1000 AS km FROM per p JOIN sites s USING (a_id) JOIN catalog c USING (b_id))"""
+
+
+def _disk_rows(spark, sf_dir):
+    ring = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.struct((F.col("x") + 1500 * F.cos(k * (2 * math.pi / 64))).alias("x"), (F.col("y") + 1500 * F.sin(k * (2 * math.pi / 64))).alias("y")))
+    return b.sites(spark, sf_dir), b.catalog(spark, sf_dir).select("b_id", "x", "y", F.lit(1.5).alias("radius_km"), ring.alias("ring"))
+
+
+@query("knn_disk_sites", f"WITH {SITES}, {CATALOG}, {_DISKS} SELECT a_id, arg_min(b_id, (km, b_id)) AS b_id, {sql6('min(km)')} AS distance_km, {sql6('min(edge)')} AS edge_km, bool_or(inside) AS inside FROM d GROUP BY a_id")
+def _disk_sites(spark, sf_dir):
+    rows = validate.sites_by_disks(*_disk_rows(spark, sf_dir))
+    return rows.select("a_id", "b_id", r6("distance_km").alias("distance_km"), r6("edge_km").alias("edge_km"), "inside")
+
+
+@query("knn_disk_regions", f"WITH {SITES}, {CATALOG}, {_DISKS} SELECT b_id, arg_min(a_id, (km, a_id)) AS a_id, {sql6('min(km)')} AS distance_km, {sql6('arg_min(edge, (km, a_id))')} AS edge_km, bool_or(inside) AS contains, arg_min(edge, (km, a_id)) <= 1.5 AS within_radius FROM d GROUP BY b_id")
+def _disk_regions(spark, sf_dir):
+    rows = validate.disks_by_sites(*_disk_rows(spark, sf_dir))
+    return rows.select("b_id", "a_id", r6("distance_km").alias("distance_km"), r6("edge_km").alias("edge_km"), "contains", "within_radius")
+
+
 @query("agg_region_medians", f"WITH {CELLS}, {SLOPE}, {SCORED} SELECT region, {sql6('median(score)')} AS median_score FROM scored GROUP BY region")
 def _medians(spark, sf_dir):
     return _scored(b.cells(spark, sf_dir)).groupBy("region").agg(r6(F.median("score")).alias("median_score"))
@@ -631,13 +671,28 @@ def _swept(spark, sf_dir):
     return samples.join(vectors, names).select("sample_id", "first").join(sites.withColumnRenamed("sample_id", "first"), "first").drop("first")
 
 
-@query("swp_weights", f"WITH RECURSIVE {CELLS}, {_PARTS}, {_SWEEP}, {_nms(6, (3000 / 240) ** 2, 'sample_id')}, {_SHARED}, {CATALOG}, placed AS (SELECT sample_id AS g, score, {X} AS x, {Y} AS y FROM shared), m AS (SELECT g, score, min(sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2)) / 1000 AS km FROM placed p, catalog c GROUP BY g, score, p.x, p.y) SELECT g AS sample_id, count(*) AS n_sites, count(*) FILTER (WHERE km <= 4) AS sites_near, {sql6('avg(score)')} AS mean_score FROM m GROUP BY g")
+@query("swp_weights", f"""WITH RECURSIVE {CELLS}, {_PARTS}, {_SWEEP}, {_nms(6, (3000 / 240) ** 2, 'sample_id')}, {CATALOG},
+placed AS (SELECT g, "rank" AS k, score, {X} AS x, {Y} AS y FROM chosen),
+d AS (SELECT g, k, b_id, sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2) / 1000 AS km FROM placed p, catalog c),
+m AS (SELECT g, count(DISTINCT k) FILTER (WHERE km <= 4) AS sites_near, count(DISTINCT k) FILTER (WHERE km <= 9) AS sites_far, count(DISTINCT b_id) FILTER (WHERE km <= 4) AS regions_near FROM d GROUP BY g),
+n AS (SELECT g, count(*) AS n_sites, avg(score) AS mean FROM placed GROUP BY g)
+SELECT s.sample_id, n_sites, sites_near, sites_far, regions_near, {sql6('mean')} AS mean_score FROM samples s JOIN vectors v USING (illum, los, warm) JOIN m ON m.g = v.sample_id JOIN n ON n.g = v.sample_id""")
 def _sweep_weights(spark, sf_dir):
     sites = _swept(spark, sf_dir).withColumn("a_id", F.col("sample_id") * 1000 + F.col("rank"))
-    rows = sweep.sweep_metrics(sites, b.catalog(spark, sf_dir).select("b_id", "x", "y"), b.grid().x(F.col("col")), b.grid().y(F.col("row")), 4.0)
+    rows = sweep.sweep_metrics(sites, b.catalog(spark, sf_dir).select("b_id", "x", "y"), b.grid().x(F.col("col")), b.grid().y(F.col("row")), 4.0, 9.0)
     return rows.withColumn("mean_score", r6("mean_score"))
 
 
+@query("swp_centroid_scores", f"""WITH {CELLS}, {_PARTS}, {CATALOG},
+spot AS (SELECT DISTINCT round_even(-y / 240.0 - 0.5, 0)::BIGINT AS r, round_even(x / 240.0 - 0.5, 0)::BIGINT AS c FROM catalog)
+SELECT sample_id, {sql6('avg(s.illum * c.illum + s.los * c.los + s.warm * (c.tmax / 200))')} AS mean_at FROM samples s, cells c JOIN spot ON r = c."row" AND spot.c = c.col GROUP BY sample_id""")
+def _centroid_scores(spark, sf_dir):
+    cells, g, catalog = b.cells(spark, sf_dir).withColumn("warm", F.col("tmax") / 200), b.grid(), b.catalog(spark, sf_dir)
+    at = catalog.select(g.row(F.col("y")).alias("row"), g.col(F.col("x")).alias("col")).distinct()
+    rows = sweep.scores_at(cells.join(at, ["row", "col"], "left_semi"), _samples(spark, sf_dir), {n: n for n in ("illum", "los", "warm")})
+    return rows.withColumn("mean_at", r6("mean_at"))
+
+
 @query("swp_distance", f'WITH {CELLS}, s AS (SELECT d::DOUBLE AS distance_km, density / 10 AS psr, scarp_km / 8 AS ridge FROM cells, (VALUES (1.0), (2.0), (5.0), (10.0)) t(d)) SELECT distance_km, count(*) FILTER (WHERE v > 0) AS n_positive, {sql6("avg(v)")} AS mean_score, {sql6("max(v)")} AS max_score FROM (SELECT distance_km, least(greatest(1 - psr / distance_km, 0), 1) * least(greatest(1 - ridge / distance_km, 0), 1) AS v FROM s) GROUP BY distance_km')
 def _sweep_distance(spark, sf_dir):
     part = lambda c: F.least(F.greatest(1 - c / F.col("distance_km"), F.lit(0.0)), F.lit(1.0))
@@ -645,6 +700,13 @@ def _sweep_distance(spark, sf_dir):
     return rows.groupBy("distance_km").agg(F.count_if(F.col("score") > 0).alias("n_positive"), r6(F.avg("score")).alias("mean_score"), r6(F.max("score")).alias("max_score"))
 
 
+@query("top_best_distance", f'WITH {CELLS}, s AS (SELECT d::DOUBLE AS distance_km, count(*) FILTER (WHERE density / 10 < d AND scarp_km / 8 < d) AS n_positive FROM cells, (VALUES (1.0), (2.0), (5.0), (10.0), (20.0)) t(d) GROUP BY d) SELECT * FROM s ORDER BY n_positive DESC, distance_km LIMIT 1')
+def _best_distance(spark, sf_dir):
+    part = lambda c: F.least(F.greatest(1 - c / F.col("distance_km"), F.lit(0.0)), F.lit(1.0))
+    rows = sweep.sweep_distance(b.cells(spark, sf_dir), [1.0, 2.0, 5.0, 10.0, 20.0], part(F.col("density") / 10) * part(F.col("scarp_km") / 8))
+    return rank.best_distance(rows.groupBy("distance_km").agg(F.count_if(F.col("score") > 0).alias("n_positive")), "n_positive")
+
+
 @query("agg_sweep_statistics", f"WITH RECURSIVE {CELLS}, {_PARTS}, {_SWEEP}, {_nms(6, (3000 / 240) ** 2, 'sample_id')}, {_SHARED}, n AS (SELECT sample_id, count(*) FILTER (WHERE col < 60) AS n FROM shared GROUP BY sample_id) SELECT min(n) AS least, floor(median(n))::BIGINT AS middle, max(n) AS most FROM n")
 def _sweep_statistics(spark, sf_dir):
     n = _swept(spark, sf_dir).groupBy("sample_id").agg(F.count_if(F.col("col") < 60).alias("n"))

@@ -6,7 +6,7 @@ import hashlib
 import io
 import json
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 from xml.etree import ElementTree
@@ -231,6 +231,54 @@ def read_catalog(spark: SparkSession, path: str, required: Sequence[str] = ("reg
     return rows.withColumn("x", stereo_x(F.col("lon"), F.col("lat"))).withColumn("y", stereo_y(F.col("lon"), F.col("lat")))
 
 
+#: Region codes of the site catalog, their names, and the names of regions that are in scope (fixed values).
+REGION_NAMES = {
+    "AR": "Amundsen Rim",
+    "CR": "Connecting Ridge",
+    "CRE": "Connecting Ridge Extension",
+    "FRA": "Faustini Rim A",
+    "HW": "Haworth",
+    "MMA": "Mons Malapert",
+    "MMO": "Mons Mouton",
+    "MMP": "Mons Mouton Plateau",
+    "NR1": "Nobile Rim 1",
+    "NR2": "Nobile Rim 2",
+    "PCB": "Peak Near Cabeus B",
+    "PNS": "Peak Near Shackleton",
+    "SP": "Slater Plain",
+    "dGKM": "de Gerlache-Kocher Massif",
+    "dGR1": "de Gerlache Rim 1",
+    "dGR2": "de Gerlache Rim 2",
+}
+IN_SCOPE = ("Haworth", "Mons Mouton", "Mons Mouton Plateau", "Nobile Rim 1", "Nobile Rim 2", "Peak Near Cabeus B", "Slater Plain", "de Gerlache Rim 2")
+
+
+def named_regions(catalog: DataFrame, code: str = "region", names: Mapping[str, str] = REGION_NAMES, scope: Sequence[str] = IN_SCOPE) -> DataFrame:
+    """catalog with region_name and in_scope by its region codes; an unknown code fails the query that reads it."""
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    wrong = F.raise_error(F.concat(F.lit("unknown region code "), F.coalesce(F.col(code), F.lit("NULL"))))
+    rows = catalog.withColumn("region_name", F.coalesce(table[F.col(code)], wrong))
+    return rows.withColumn("in_scope", F.col("region_name").isin(list(scope)))
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """Lines and points of a GeoJSON, or points of a CSV with lat and lon -> (line_id, points) in projected metres, for densified().
+
+    The parts of multi-part geometries are lines of their own; other geometries have no points.
+    """
+    point = lambda lon, lat: F.struct(stereo_x(lon, lat).alias("x"), stereo_y(lon, lat).alias("y"))
+    if path.lower().endswith((".csv", ".csv.gz")):
+        rows = spark.read.option("header", True).option("comment", "#").csv(path)
+        return rows.select(F.monotonically_increasing_id().alias("line_id"), F.array(point(F.col("lon").cast("double"), F.col("lat").cast("double"))).alias("points"))
+    schema = "features array<struct<geometry: struct<type: string, coordinates: string>>>"
+    g = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.geometry.type", "f.geometry.coordinates")
+    parsed = lambda kind: F.from_json("coordinates", kind)
+    lines = F.when(F.col("type") == "Point", F.array(F.array(parsed("array<double>")))).when(F.col("type") == "MultiPoint", F.transform(parsed("array<array<double>>"), lambda p: F.array(p)))
+    lines = lines.when(F.col("type") == "LineString", F.array(parsed("array<array<double>>"))).when(F.col("type") == "MultiLineString", parsed("array<array<array<double>>>"))
+    rows = g.select(F.explode(lines).alias("line"))
+    return rows.select(F.monotonically_increasing_id().alias("line_id"), F.transform("line", lambda p: point(p[0], p[1])).alias("points"))
+
+
 def is_placeholder(id_column: str, prefix: str = "synthetic-placeholder") -> Column:
     """An aggregate: whether there are rows and all ids start with the prefix."""
     return F.coalesce(F.bool_and(F.col(id_column).startswith(prefix)), F.lit(False))

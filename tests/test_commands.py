@@ -51,6 +51,22 @@ def test_score_and_rank(spark, processed, grid):
         commands.score(processed.select("row", "col"), weights)
 
 
+def test_tiles_are_ranked_at_their_own_resolution(spark, processed, grid):
+    scored = commands.score(processed.withColumn("illumination", F.lit(0.9)), {"slope": 0.5, "illumination": 0.5, **dict.fromkeys(("thermal", "hazard", "los_to_earth", "eva_psr_access", "multi_volatile", "seismic"), 0.0)})
+    box = lambda x, y: [(x, y), (x + 1200.0, y), (x + 1200.0, y - 1200.0), (x, y - 1200.0)]
+    regions = spark.createDataFrame([(0, "West", "w", box(-2400.0, 18_800.0)), (1, "East", "e", box(600.0, 16_400.0))], "ordinal long, region string, code string, ring array<struct<x: double, y: double>>")
+    found = commands.rank_tiled(scored, regions, grid, 60.0, 300.0, n=3, min_distance_m=400.0).orderBy("site_id").collect()
+    assert [(f["region_code"], f["rank_in_region"], f["site_id"]) for f in found] == [("w", 1, 1), ("w", 2, 2), ("w", 3, 3), ("e", 1, 4), ("e", 2, 5), ("e", 3, 6)]
+    assert all(f["resolution_m"] == 60.0 and -2400 - 60 <= f["x_m"] <= -1200 + 60 and f["score_slope"] == pytest.approx(0.8, abs=1e-6) for f in found[:3])
+    assert {f["region_code"] for f in commands.rank_tiled(scored, regions, grid, 120.0, 300.0, codes=["E"]).collect()} == {"e"}
+    with pytest.raises(ValueError, match="no region"):
+        commands.rank_tiled(scored, regions, grid, 120.0, codes=["X"])
+    catalog = spark.createDataFrame([("a", "West", True, 0.0, 18_000.0), ("b", "Far", False, 0.0, 18_000.0)], "site_id string, region string, in_scope boolean, x double, y double")
+    rows = commands.score_catalog(scored, catalog, grid).collect()
+    assert [r["site_id"] for r in rows] == ["a"] and rows[0]["hls_compliant"] and rows[0]["score_seismic"] is None and rows[0]["slope_deg"] == pytest.approx(3, abs=1e-6)
+    assert commands.score_catalog(scored, catalog, grid, in_scope_only=False).count() == 2
+
+
 def test_registry_takes_new_criteria():
     before = dict(registry.CRITERIA)
     registry.register("dust", ("dust",), lambda x: 1 - x)

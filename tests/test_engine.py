@@ -1,5 +1,6 @@
 """The engine's operators: hand-made grids, analytic answers, metamorphic properties and error contracts."""
 
+import json
 import math
 
 import numpy as np
@@ -273,3 +274,62 @@ def test_comparison_by_a_known_offset(spark):
     assert validate.compare(a.drop("region"), c.drop("region"), 5.0).select("matched_a", "matched_b").first() == (1, 1)
     assert validate.compare(a.drop("region"), c.drop("region"), 10.0).select("matched_a", "matched_b").first() == (1, 2)
     assert validate.compare_by_region(a, c, 5.0).first()["matched"] == 1
+
+
+# --- features, catalogs and launch years
+
+
+def test_no_feature_is_infinitely_far(spark):
+    a = spark.createDataFrame([(1, 0.0, 0.0), (2, 3000.0, 4000.0)], "a_id long, x double, y double")
+    none = spark.createDataFrame([], "b_id long, x double, y double")
+    far = distance.feature_distance(a, none)
+    assert {r["km"] for r in far.collect()} == {float("inf")}
+    assert {r[0] for r in far.select(local.seismic_score(F.col("km"))).collect()} == {1.0}
+    near = distance.feature_distance(a, spark.createDataFrame([(1, 0.0, 0.0)], "b_id long, x double, y double"))
+    assert {r["a_id"]: r["km"] for r in near.collect()} == {1: 0.0, 2: 5.0}
+
+
+def test_features_of_a_geojson_and_a_csv(spark, tmp_path):
+    shapes = [("Point", [0, -89]), ("LineString", [[0, -90], [0, -89]]), ("MultiLineString", [[[0, -90], [90, -89]], [[180, -89], [180, -88]]]), ("Polygon", [[[0, -90], [0, -89], [90, -89], [0, -90]]])]
+    features = [{"type": "Feature", "geometry": {"type": t, "coordinates": c}} for t, c in shapes]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    rows = tables.read_features(spark, str(tmp_path / "a.geojson")).collect()
+    assert sorted(len(r["points"]) for r in rows) == [1, 2, 2, 2] and len({r["line_id"] for r in rows}) == 4
+    (tmp_path / "a.csv").write_text("# points\nlat,lon\n-89,0\n-88,90\n")
+    assert [len(r["points"]) for r in tables.read_features(spark, str(tmp_path / "a.csv")).collect()] == [1, 1]
+
+
+def test_region_codes_have_names_and_unknown_ones_fail(spark):
+    codes = spark.createDataFrame([("HW",), ("dGR1",)], "region string")
+    assert {tuple(r) for r in tables.named_regions(codes).collect()} == {("HW", "Haworth", True), ("dGR1", "de Gerlache Rim 1", False)}
+    for wrong in ("XX", None):
+        with pytest.raises(Exception, match="unknown region code"):
+            tables.named_regions(spark.createDataFrame([(wrong,)], "region string")).collect()
+
+
+def test_launch_years_of_sites_and_wrong_years(spark):
+    found = spark.createDataFrame([(1, 7, 2.0, True), (2, 7, 9.0, False), (3, 8, 1.0, True), (4, None, None, False)], "a_id long, b_id long, distance_km double, matched boolean")
+    catalog = spark.createDataFrame([(7, 10, 9), (8, None, 3)], "b_id long, d27 long, d28 long")
+    rows = validate.launch_year_sites(found, catalog, {2027: "d27", 2028: "d28"})
+    got = {r["a_id"]: (r["b_id"], r["days"], r["passes_headline"], r["passes_any"]) for r in rows.collect()}
+    assert got == {1: (7, {2027: 10, 2028: 9}, False, True), 2: (None, None, False, False), 3: (8, {2027: 0, 2028: 3}, False, False), 4: (None, None, False, False)}
+    assert tuple(validate.launch_year_totals(rows).first()) == (4, 2, 0, 1)
+    for columns, options in (({2024: "d27", 2028: "d28"}, {}), ({2027: "d27"}, {}), ({2028: "d28"}, {"threshold": 0})):
+        with pytest.raises(ValueError):
+            validate.launch_year_sites(found, catalog, columns, **options)
+
+
+def test_published_areas_stand_in_for_counted_ones(spark):
+    regions = spark.createDataFrame([("a", 10.0), ("b", 0.0), ("c", 4.0)], "region string, area_km2 double")
+    sites = spark.createDataFrame([("a", 1, 0.5), ("a", 2, 0.5)], "region string, site_id long, score double")
+    areas = spark.createDataFrame([("a", 5.0), ("b", 1.0)], "region string, eligible_km2 double")
+    rows = validate.compliance(regions, sites, areas)
+    assert {r["region"]: (r["n_sites"], r["best_site"], r["fraction"]) for r in rows.collect()} == {"a": (2, 1, 0.5), "b": (0, 0, 0.0), "c": (0, 0, 0.0)}
+    assert tuple(validate.compliance_totals(rows).first()) == (2, 3, 1, 2, "b,c")
+
+
+def test_a_partner_in_another_region_is_no_match(spark):
+    a = spark.createDataFrame([(1, "r", 0.0, 0.0)], "a_id long, region string, x double, y double")
+    b = spark.createDataFrame([(1, "s", 100.0, 0.0), (2, "r", 900.0, 0.0)], "b_id long, region string, x double, y double")
+    got = {r["region"]: (r["n_a"], r["n_b"], r["matched"], r["unmatched_a"], r["unmatched_b"]) for r in validate.compare_by_region(a, b, 5.0).collect()}
+    assert got == {"r": (1, 1, 0, "1", ""), "s": (0, 1, 0, "", "1")}
