@@ -8,10 +8,10 @@ import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
-from test_corpora import brute_links, brute_mix, words
+from test_corpora import brute_links, brute_mix, edited_groups, words
 
 import corpus_pipeline
-from rastermill.llm import jaccard, language, lines, mixing, packing, toxicity
+from rastermill.llm import common, fingerprints, jaccard, language, lines, mixing, packing, toxicity
 
 
 def test_margins_of_long_texts_stay():
@@ -168,3 +168,30 @@ def test_stages_of_odd_rows(spark):
                 assert {r["text"] for r in kept} <= {text, text + " home"}
             if name == "near_duplicates" and table is docs:
                 assert [r["doc_id"] for r in kept if r["text"] == text] == [1]
+
+
+# --- hot keys
+
+
+def test_hot_keys_meet_all_their_rows(spark, monkeypatch):
+    """With hot keys from three rows on, joins have the rows of plain ones."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    left = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 9 + [2] * 3 + [3, 4, 5] + [None] * 4)], "k long, i long")
+    right = spark.createDataFrame([(1, "a", 9), (2, "b", 3), (3, "c", 1), (6, "d", 0)], "k long, v string, n long")
+    for how in ("inner", "left", "left_semi"):
+        got = common.join_counted(left, right, "k", "n", how)
+        want = left.join(right.select("k", "v"), "k", how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())), how
+    salted = common.join_salted(left, right.select("k", "v"), "k", ["i"], left, rows_each=3)
+    assert sorted((r["i"], r["v"]) for r in salted.collect()) == sorted((r["i"], r["v"]) for r in left.join(right, "k").collect())
+
+
+def test_links_and_groups_with_hot_keys_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rows = edited_groups(7, groups=6, members=10)
+    rows += [(1000 + i, rows[0][1]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.similar_sets(df, width=3, percent=70, frequent=4, block=4, reorder_blocks=2).collect()) == brute_links(rows, 3, 70)
+    found = fingerprints.group_by_text(df).collect()
+    sizes = collections.Counter(t for _, t in rows)
+    assert {(r["doc_id"], r["copies"]) for r in found} == {(d, sizes[t]) for d, t in rows}
