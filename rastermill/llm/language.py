@@ -7,7 +7,6 @@ sizes wins, and a narrow margin to the second is a rejection.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,11 +26,11 @@ BLOCK_BYTES = 96 << 10
 MIN_MARGIN = 0.002
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str) -> str:
-    """The lower-cased words of a text, each with a space on either side, without digits and signs."""
+    """The lower-cased words of a text, letters with their combining marks, each with a space on either side, without digits and signs."""
     return f" {_OTHER.sub(' ', text.lower()).strip()} "
 
 

@@ -195,3 +195,7 @@ def test_links_and_groups_with_hot_keys_everywhere(spark, monkeypatch):
     found = fingerprints.group_by_text(df).collect()
     sizes = collections.Counter(t for _, t in rows)
     assert {(r["doc_id"], r["copies"]) for r in found} == {(d, sizes[t]) for d, t in rows}
+
+
+def test_combining_marks_stay_with_their_letters():
+    assert language.letters("हिन्दी, 12 É_é!") == " हिन्दी é é "
