@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import positive
-from .focal import disc_offsets
+from .focal import disc_offsets, disc_size, disc_sum, over_tiles
 from .spatial import nearest
 
+#: Discs of more cells are summed on tiles.
+NEAR_OFFSETS = 250
+
 
 def _envelope(g: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     """min over i of (at - rows[i])^2 + g[i], by the lower envelope of parabolas."""
@@ -58,10 +61,31 @@ def distance_to_mask(cells: DataFrame, mask: Column, pixel: float, out: str = "d
 
 
 def near_mask(cells: DataFrame, mask: Column, radius_m: float, pixel: float, strict: bool = False) -> DataFrame:
-    """(row, col) of cells within the radius of a mask cell: mask cells are spread over disc offsets and met by key."""
+    """(row, col) of cells within the radius of a mask cell, or strictly within it.
+
+    Mask cells are spread over the offsets of a small disc and met by key. A disc of more than NEAR_OFFSETS cells is summed
+    on tiles with a halo instead, so the plan and the rows do not grow with the disc.
+    """
     r2 = (radius_m / positive("pixel", pixel)) ** 2
-    offsets = [(a, b) for a, b in disc_offsets(radius_m, pixel) if not strict or a * a + b * b < r2]
-    spread = cells.where(mask).select("row", "col", F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in offsets))).alias("o")) if offsets else cells.where(F.lit(False)).select("row", "col", F.struct(F.lit(0).alias("dr"), F.lit(0).alias("dc")).alias("o"))
+    offsets_r2 = math.ceil(r2) - 1 if strict else math.floor(r2)
+    if radius_m < 0:
+        raise ValueError("radius must not be negative")
+    if offsets_r2 < 0:
+        return cells.select("row", "col").where(F.lit(False))
+    if disc_size(offsets_r2) > NEAR_OFFSETS:
+        # half a unit more than a whole square keeps the test of a disc's rim exact
+        reach = math.sqrt(offsets_r2 + 0.5)
+        found = over_tiles(
+            cells.select("row", "col", F.when(mask, 1.0).otherwise(0.0).alias("__mask")),
+            ["__mask"],
+            math.isqrt(offsets_r2),
+            lambda a: {"__near": disc_sum(np.nan_to_num(a["__mask"]), reach, 1.0)},
+            ["__near"],
+        )
+        return found.where(F.col("__near") > 0.5).select("row", "col")
+    offsets = [(a, b) for a, b in disc_offsets(radius_m, pixel) if a * a + b * b <= offsets_r2]
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in offsets)))
+    spread = cells.where(mask).select("row", "col", each.alias("o"))
     hit = spread.select((F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col")).distinct()
     return cells.select("row", "col").join(hit, ["row", "col"], "left_semi")
 

@@ -71,6 +71,12 @@ def disc_offsets(radius_m: float, pixel: float) -> list[tuple[int, int]]:
     return [(dy, dx) for dy in range(-k, k + 1) for dx in range(-k, k + 1) if dy * dy + dx * dx <= r * r]
 
 
+def disc_size(r2: int) -> int:
+    """Cells whose squared distance from the centre, in cells, is at most r2; 0 where r2 is negative."""
+    k = math.isqrt(r2) if r2 >= 0 else -1
+    return sum(2 * math.isqrt(r2 - dy * dy) + 1 for dy in range(-k, k + 1))
+
+
 def disc_sum(a: np.ndarray, radius_m: float, pixel: float) -> np.ndarray:
     """Sums over discs by prefix sums along rows, one chord for each row of the disc; beyond the edge is 0."""
     r = radius_m / pixel

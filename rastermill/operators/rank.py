@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import positive
 from .distance import clear_of_steep
+from .focal import disc_size
 
 
 #: Parts of a group in which its best cells are sought first.
 SALTS = 64
+#: More cells than these go through parts of parts.
+MERGED_ROWS, MERGED_SALTS = 1_000_000, 8
 
 
 def _checked(n: int, min_distance_m: float, pixel: float) -> float:
@@ -25,8 +30,8 @@ def separated(candidates: DataFrame, by: list[str], n: int, min_distance_m: floa
     """The n best cells of each group, ties by row and column, none closer than the distance (exactly it is allowed).
 
     The greedy walk ends within the first n * D cells of a group's order, D being the cells that one chosen cell can
-    suppress, itself included. So each group's task takes that many cells at most, picked in two steps of which the
-    first is spread over salts.
+    suppress, itself included. So each group's task takes that many cells at most, picked in steps: within SALTS parts,
+    within MERGED_SALTS where the parts hold over MERGED_ROWS cells together, then in the group.
     """
     d2 = _checked(n, min_distance_m, pixel)
     keys = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in by]
@@ -46,10 +51,17 @@ def separated(candidates: DataFrame, by: list[str], n: int, min_distance_m: floa
         return out
 
     schema = candidates.select(*names).withColumn("rank", F.lit(0).cast("long")).schema
-    k = int(d2**0.5)
-    most = n * sum(1 for dy in range(-k, k + 1) for dx in range(-k, k + 1) if dy * dy + dx * dx < d2 or dy == dx == 0)
-    best = lambda df, *by: df.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), "row", "col"))).where(F.col("__i") <= most).drop("__i")
-    thin = best(best(candidates.select(*names), *keys, F.pmod(F.hash("row", "col"), F.lit(SALTS))), *(keys or [F.lit(0)]))
+    most = n * max(1, disc_size(math.ceil(d2) - 1))
+
+    def best(df: DataFrame, *part: Column) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc(score), "row", "col"))
+        return df.withColumn("__i", place).where(F.col("__i") <= most).drop("__i")
+
+    salt = lambda m: F.pmod(F.hash("row", "col"), F.lit(m))
+    thin = best(candidates.select(*names), *keys, salt(SALTS))
+    if most * SALTS > MERGED_ROWS:
+        thin = best(thin, *keys, salt(MERGED_SALTS))
+    thin = best(thin, *(keys or [F.lit(0)]))
     if not by:
         return thin.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(lambda pdf: greedy(pdf.drop(columns="__g")), schema)
     return thin.groupBy(*by).applyInPandas(greedy, schema)

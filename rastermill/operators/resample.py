@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import GridSpec
-from .spatial import nearest
+from .spatial import nearest, radius_join
 
 #: Kernels that gather source cells by the target cell they fall into.
 GATHERED = {"min": F.min, "max": F.max, "mean": F.avg, "median": F.median}
@@ -63,17 +61,16 @@ def scattered_linear(target: DataFrame, points: DataFrame, layer: str, size_m: f
 
     An approximation of linear interpolation on a triangulation: points meet targets in buckets of size_m.
     """
-    from .spatial import radius_join
-
-    met = radius_join(target.select("a_id", "x", "y"), points.select("b_id", "x", "y", layer).where(F.col(layer).isNotNull()), size_m)
-
-    def blend(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["distance_m", "b_id"]).head(3)
-        if len(pdf) < 3:
-            return pd.DataFrame({"a_id": [], layer: []})
-        d, v = pdf["distance_m"].to_numpy(), pdf[layer].to_numpy()
-        value = v[0] if d[0] == 0 else float((v / d).sum() / (1 / d).sum())
-        return pd.DataFrame({"a_id": [pdf["a_id"].iloc[0]], layer: [np.float64(value)]})
-
-    found = met.groupBy("a_id").applyInPandas(blend, f"a_id long, {layer} double")
-    return target.select("a_id").join(found, "a_id", "left")
+    known = points.select("b_id", "x", "y", F.col(layer).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    met = radius_join(target.select("a_id", "x", "y"), known, size_m).select("a_id", "b_id", "distance_m", "__v")
+    place = F.row_number().over(Window.partitionBy("a_id").orderBy("distance_m", "b_id"))
+    three = met.withColumn("__i", place).where(F.col("__i") <= 3)
+    away = F.nullif("distance_m", F.lit(0.0))
+    sums = three.groupBy("a_id").agg(
+        F.count("*").alias("__n"),
+        F.max(F.when(F.col("__i") == 1, F.col("distance_m"))).alias("__d"),
+        F.max(F.when(F.col("__i") == 1, F.col("__v"))).alias("__first"),
+        (F.sum(F.col("__v") / away) / F.sum(1 / away)).alias("__blend"),
+    )
+    value = F.when(F.col("__d") == 0, F.col("__first")).otherwise(F.col("__blend"))
+    return target.select("a_id").join(sums.where("__n = 3").select("a_id", value.alias(layer)), "a_id", "left")

@@ -131,6 +131,22 @@ def test_buffer_counts_unknown_slope_as_steep(spark):
     assert gone == {(4, 4), (3, 4), (5, 4), (4, 3), (4, 5)}
 
 
+@pytest.mark.parametrize("radius,strict", [(50.0, False), (50.0, True), (250.0, False), (250.0, True), (251.0, True), (0.0, True)])
+def test_near_mask_by_offsets_and_by_tiles(spark, radius, strict):
+    rng = np.random.default_rng(8)
+    m = rng.random((70, 90)) < 0.002
+    df = cells_of(spark, {"m": m.astype(float)}).where("not (row = 30 and col between 20 and 50)")
+    df = df.withColumn("m", F.when((F.col("row") != 3) | (F.col("col") != 3), F.col("m")))
+    here = {(r["row"], r["col"]): r["m"] for r in df.collect()}
+    marks = [k for k, v in here.items() if v == 1]
+    r2 = (radius / 10) ** 2
+    near = lambda d2: d2 < r2 if strict else d2 <= r2
+    want = sorted(k for k in here if any(near((k[0] - a) ** 2 + (k[1] - b) ** 2) for a, b in marks))
+    got = sorted((r["row"], r["col"]) for r in distance.near_mask(df, F.col("m") == 1, radius, 10.0, strict).collect())
+    assert got == want
+    assert distance.near_mask(df.limit(0), F.col("m") == 1, radius, 10.0, strict).count() == 0
+
+
 def test_densify(spark):
     lines = spark.createDataFrame([(1, [(0.0, -10000.0), (0.0, 10000.0)]), (2, [(5.0, 5.0)]), (3, []), (4, [(0.0, 0.0), (3.0, 0.0), (3.0, 4.0)])], "line_id long, points array<struct<x: double, y: double>>")
     rows = distance.densified(lines).collect()
@@ -161,6 +177,25 @@ def test_separated_equals_a_greedy_loop_with_ties(spark):
     assert rank.separated(exact, [], 5, 480.0, PIXEL).where("score > 0.5").count() == 2  # exactly the distance stays
 
 
+def test_separated_in_parts_of_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    s = np.round(rng.random((60, 60)), 2)
+    df = cells_of(spark, {"score": s})
+    monkeypatch.setattr(rank, "MERGED_ROWS", 10)
+    got = [(r["score"], r["row"], r["col"]) for r in rank.separated(df, [], 6, 2400.0, PIXEL).orderBy("rank").collect()]
+    assert got == greedy([(s[r, c], r, c) for r in range(60) for c in range(60)], 6, 100.0)
+
+
+def test_scattered_linear_by_hand(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0, 2.0), (2, 3.0, 0.0, 5.0), (3, 0.0, 4.0, 8.0), (4, 900.0, 0.0, 1.0), (5, 0.0, 0.5, None)], "b_id long, x double, y double, v double")
+    target = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 900.0, 1.0), (4, 1e6, 1e6)], "a_id long, x double, y double")
+    got = {r["a_id"]: r["v"] for r in resample.scattered_linear(target, points, "v", 10.0).collect()}
+    assert got[1] == 2.0 and got[3] is None and got[4] is None
+    assert got[2] == pytest.approx((2 / 5 + 5 / 4 + 8 / 3) / (1 / 5 + 1 / 4 + 1 / 3))
+    same = points.withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0))
+    assert resample.scattered_linear(target.where("a_id = 1"), same, "v", 10.0).first()["v"] == 2.0
+
+
 def test_regions_are_independent_and_ids_run_over_regions(spark):
     df = cells_of(spark, {"score": np.full((6, 6), 0.5)}).withColumn("region", F.explode(F.array(F.lit("b"), F.lit("a"))))
     rows = rank.top_sites_per_region(df, "region", 2, 480.0, PIXEL).orderBy("site_id").collect()
