@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--craters")
     c.add_argument("--azimuths", type=int, default=36)
     c.add_argument("--max-km", type=float, default=100.0)
+    c.add_argument("--horizons", help="a folder for the horizon profiles")
     c = add("score", "cells", "weights")
     c.add_argument("--method", choices=("weighted_sum", "topsis"), default="weighted_sum")
     for name in ("rank", "rank-per-region"):
@@ -57,7 +58,9 @@ def parser() -> argparse.ArgumentParser:
     c = on_grid(add("sensitivity", "scored", "centroids"))
     c.add_argument("--criterion", action="append", default=[])
     c.add_argument("--samples", type=int, default=100)
-    add("coupling-sweep", "scored")
+    c = add("coupling-sweep", "scored")
+    c.add_argument("--grid", help="JSON of left, top, pixel, height, width")
+    c.add_argument("--disks", help="b_id, x, y, radius_km, ring: the cells are ranked for each distance and held against them")
     return p
 
 
@@ -74,7 +77,7 @@ def main(argv: list[str] | None = None) -> None:
     grid = GridSpec(**json.loads(a.grid)) if getattr(a, "grid", None) else None
     if a.command == "preprocess":
         craters = tables.read_craters(spark, a.craters) if a.craters else None
-        df = commands.preprocess(spark, read(a.elevation), grid, [read(x) for x in a.layer], craters, azimuths=a.azimuths, max_km=a.max_km, out=a.out)
+        df = commands.preprocess(spark, read(a.elevation), grid, [read(x) for x in a.layer], craters, azimuths=a.azimuths, max_km=a.max_km, out=a.out, horizons=a.horizons)
     elif a.command == "score":
         df = commands.score(read(a.cells), commands.load_weights(a.weights), a.method, a.out)
     elif a.command == "rank":
@@ -95,9 +98,9 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "validate-per-region":
         df = commands.validate_per_region(read(a.regions), read(a.sites).withColumnRenamed("region_name", "region"), read(a.areas), a.out)
     elif a.command == "sensitivity":
-        df = commands.sensitivity(spark, read(a.scored), a.criterion, read(a.centroids), grid, a.samples, out=a.out)
+        df = commands.sensitivity(spark, read(a.scored), a.criterion, read(a.centroids), grid, a.samples, out=a.out, baseline=True)
     else:
-        df = commands.coupling_sweep(read(a.scored), out=a.out)
+        df = commands.coupling_sweep(read(a.scored), out=a.out, grid=grid, disks=read(a.disks) if a.disks else None)
     df.show(20, truncate=False)
 
 

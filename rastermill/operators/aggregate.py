@@ -87,6 +87,13 @@ def summary(cells: DataFrame, layer: str, high: float = 0.7) -> DataFrame:
     return cells.agg(F.count(x).alias("n_finite"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), (100.0 * F.count_if(x > high) / F.nullif(F.count(x), F.lit(0))).alias("pct_high"), (100.0 * F.count_if(x.isNull()) / F.nullif(F.count("*"), F.lit(0))).alias("pct_missing"))
 
 
+def medians(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, median, overall): the median of each group, and of all rows in the row where overall holds. For tables of sites."""
+    each = rows.groupBy(by).agg(F.median(value).alias("median")).withColumn("overall", F.lit(False))
+    whole = rows.agg(F.median(value).alias("median")).select(F.lit(None).cast(rows.schema[by].dataType).alias(by), "median", F.lit(True).alias("overall"))
+    return each.unionByName(whole)
+
+
 def two_sample(samples: DataFrame) -> DataFrame:
     """(criterion, side 'a' or 'b', value) -> n, mean, sd (n - 1) of each side, delta, abs_delta and Welch's t."""
     side = lambda f, s: f(F.when(F.col("side") == s, F.col("value")))

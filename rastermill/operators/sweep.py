@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rank import separated
-from .spatial import BROADCAST_ROWS, radius_join
+from .spatial import BROADCAST_ROWS, contains, radius_join, ring_edges
 
 
 def latin_hypercube(spark: SparkSession, n: int, names: Sequence[str], seed: int = 42) -> DataFrame:
@@ -54,6 +54,23 @@ def sweep_metrics(sites: DataFrame, centroids: DataFrame, x: Column, y: Column,
     return rows.select("sample_id", "n_sites", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sites_near", "sites_far", "regions_near")), "mean_score")
 
 
+def sweep_containment(sites: DataFrame, disks: DataFrame, x: Column, y: Column) -> DataFrame:
+    """Per sample: sites that lie in any disk (b_id, x, y, radius_km, ring), and disks that hold one.
+
+    Both meet in buckets of the largest radius; samples none of whose sites lies in a disk have no row.
+    """
+    widest = disks.agg(F.max("radius_km")).first()[0] or 1.0
+    placed = sites.select("sample_id", F.monotonically_increasing_id().alias("a_id"), x.alias("x"), y.alias("y"))
+    shapes = disks.select("b_id", "x", "y", ring_edges(F.col("ring")).alias("edges"))
+    met = radius_join(placed, shapes, widest * 1000).where(contains(F.col("edges"), F.col("ax"), F.col("ay")))
+    return met.groupBy("sample_id").agg(F.count_distinct("a_id").alias("sites_inside"), F.count_distinct("b_id").alias("regions_with_site"))
+
+
+def sweep_statistics(results: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: least, median (cut to a whole number) and largest value of each count over the samples."""
+    return results.agg(*(x for c in columns for x in (F.min(c).alias(f"{c}_min"), F.floor(F.median(c)).cast("long").alias(f"{c}_median"), F.max(c).alias(f"{c}_max"))))
+
+
 def scores_at(cells: DataFrame, samples: DataFrame, scores: Mapping[str, str]) -> DataFrame:
     """(sample_id, mean_at): each sample's mean score over some cells, those of the centroids for instance; unknown scores don't count."""
     return sweep_scores(cells, samples, scores).groupBy("sample_id").agg(F.avg("score").alias("mean_at"))

@@ -99,11 +99,25 @@ def _beside(sites: DataFrame, shapes: DataFrame) -> DataFrame:
 def polygon_distances(sites: DataFrame, polygons: DataFrame) -> DataFrame:
     """(a_id, x, y) x (ordinal, region, ring) -> the containing region (first in order), or the nearest, and the signed distance."""
     rings = polygons.select("ordinal", "region", ring_edges(F.col("ring")).alias("edges"))
-    pairs = _beside(sites, rings).withColumn("inside", contains(F.col("edges"), F.col("x"), F.col("y"))).withColumn("signed", signed_edge_distance(F.col("edges"), F.col("x"), F.col("y")))
+    pairs = _beside(sites.select("a_id", "x", "y"), rings).withColumn("inside", contains(F.col("edges"), F.col("x"), F.col("y"))).withColumn("signed", signed_edge_distance(F.col("edges"), F.col("x"), F.col("y")))
     pick = F.struct(F.when(F.col("inside"), 0).otherwise(1), F.when(F.col("inside"), 0.0).otherwise(F.col("signed")), F.col("ordinal"))
     return pairs.groupBy("a_id").agg(F.min_by("region", pick).alias("region"), F.bool_or("inside").alias("inside"), F.min("signed").alias("signed_m"))
 
 
+def polygons_by_sites(sites: DataFrame, polygons: DataFrame) -> DataFrame:
+    """Each polygon's nearest site (the first on ties), the distance to it, 0 inside, and whether it holds any site."""
+    rings = polygons.select("ordinal", "region", ring_edges(F.col("ring")).alias("edges"))
+    pairs = _beside(sites.select("a_id", "x", "y"), rings).withColumn("inside", contains(F.col("edges"), F.col("x"), F.col("y")))
+    pairs = pairs.withColumn("km", F.when(F.col("inside"), 0.0).otherwise(signed_edge_distance(F.col("edges"), F.col("x"), F.col("y")) / 1000))
+    return pairs.groupBy("ordinal", "region").agg(F.min_by("a_id", F.struct("km", "a_id")).alias("a_id"), F.min("km").alias("distance_km"), F.bool_or("inside").alias("contains"))
+
+
+def nearest_names(sites: DataFrame, centroids: DataFrame, name: str = "region") -> DataFrame:
+    """(a_id, name, distance_km): the nearest centroid's name for each site; NULLs without centroids."""
+    found = nearest(sites.select("a_id", "x", "y"), centroids.select("b_id", "x", "y"))
+    return found.join(centroids.select("b_id", name), "b_id", "left").select("a_id", name, (F.col("distance_m") / 1000).alias("distance_km"))
+
+
 def _to_disks(sites: DataFrame, disks: DataFrame) -> DataFrame:
     shapes = disks.select("b_id", F.col("x").alias("bx"), F.col("y").alias("by"), "radius_km", ring_edges(F.col("ring")).alias("edges"))
     x, y = F.col("x"), F.col("y")
@@ -132,6 +146,40 @@ def proximity(sites: DataFrame, centroids: DataFrame, near_km: float) -> DataFra
     return left.join(back.agg(F.count("*").alias("n_regions"), F.count_if("matched").alias("regions_near")).withColumn("one", F.lit(1)), "one").drop("one")
 
 
+def _side_by_side(*rows: DataFrame) -> DataFrame:
+    """Tables of one row as one row."""
+    out = rows[0].withColumn("__one", F.lit(1))
+    for r in rows[1:]:
+        out = out.join(r.withColumn("__one", F.lit(1)), "__one")
+    return out.drop("__one")
+
+
+def proximity_totals(sites: DataFrame, disks: DataFrame, near_km: float, polygons: DataFrame | None = None) -> DataFrame:
+    """One row over sites_by_disks and disks_by_sites, and over the polygons' both sides if they are given.
+
+    Counts are 0, the median distance NULL, where either side is empty; a distance of exactly near_km is near.
+    """
+    out = [
+        sites.agg(F.count("*").alias("n_sites")),
+        disks.agg(F.count("*").alias("n_regions")),
+        sites_by_disks(sites, disks).agg(F.count_if(F.col("distance_km") <= near_km).alias("sites_near"), F.count_if("inside").alias("sites_inside")),
+        disks_by_sites(sites, disks).agg(F.count_if(F.col("distance_km") <= near_km).alias("regions_near"), F.count_if("contains").alias("regions_with_site"), F.count_if("within_radius").alias("regions_within_radius")),
+    ]
+    if polygons is not None:
+        km = F.when(F.col("inside"), 0.0).otherwise(F.col("signed_m") / 1000)
+        out.append(polygons.agg(F.count("*").alias("n_polygons")))
+        out.append(polygon_distances(sites, polygons).agg(F.count_if("inside").alias("sites_in_polygons"), F.median(km).alias("median_polygon_km")))
+        out.append(polygons_by_sites(sites, polygons).agg(F.count_if("contains").alias("polygons_with_site")))
+    return _side_by_side(*out)
+
+
+def notable(a: DataFrame, b: DataFrame, km: float, n: int = 3) -> DataFrame:
+    """The disagreements of both sides: side 'a' or 'b', id, partner, distance_km."""
+    forth, back = matches(a, b, km), matches(_swapped(b), _swapped(a), km)
+    rows = [disagreements(found, n).select(F.lit(s).alias("side"), F.col("a_id").alias("id"), F.col("b_id").alias("partner"), "distance_km") for s, found in (("a", forth), ("b", back))]
+    return rows[0].unionByName(rows[1])
+
+
 #: Launch years that a catalog's lit days cover, and the headline year (fixed values).
 FIRST_YEAR, LAST_YEAR, HEADLINE_YEAR = 2025, 2032, 2028
 

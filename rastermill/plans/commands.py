@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import crs, local
 from ..operators import aggregate, focal, rank, sweep, validate
 from ..operators.grid import GridSpec, sample_nearest, tile_specs
-from ..operators.resample import resampled
+from ..operators.resample import resampled, scattered_linear, scattered_nearest
 from ..operators.spatial import point_density, polygon_cells
 from ..sources import tables
 from .registry import scores_for
@@ -42,11 +42,18 @@ def saved(df: DataFrame, path: str | None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def preprocess(spark: SparkSession, elevation: DataFrame, grid: GridSpec, layers: Sequence[DataFrame] = (), craters: DataFrame | None = None, crater_radius_m: float = 3000.0, azimuths: int = 36, max_km: float = 100.0, distances: int = 50, out: str | None = None) -> DataFrame:
-    """(row, col, z) and other layers -> slope, visibility from the horizon, crater density, all on one grid."""
+def preprocess(spark: SparkSession, elevation: DataFrame, grid: GridSpec, layers: Sequence[DataFrame] = (), craters: DataFrame | None = None, crater_radius_m: float = 3000.0, azimuths: int = 36, max_km: float = 100.0, distances: int = 50, out: str | None = None, horizons: str | None = None) -> DataFrame:
+    """(row, col, z) and other layers -> slope, visibility from the horizon, crater density, all on one grid.
+
+    With a path for horizons their profiles are stored there, as floats, and read back.
+    """
     cells = focal.slope_degrees(elevation.select("row", "col", "z"), grid.pixel)
     profile = focal.horizon_profile(elevation, grid.pixel, azimuths, max_km, distances)
-    arrays = profile.groupBy("row", "col").agg(F.transform(F.sort_array(F.collect_list(F.struct("azimuth", "horizon"))), lambda a: a["horizon"]).alias("horizon"))
+    if horizons is None:
+        arrays = profile.groupBy("row", "col").agg(F.transform(F.sort_array(F.collect_list(F.struct("azimuth", "horizon"))), lambda a: a["horizon"]).alias("horizon"))
+    else:
+        tables.write_horizon(profile, horizons)
+        arrays = tables.read_horizon(spark, horizons, azimuths)
     x, y = grid.x(F.col("col")), grid.y(F.col("row"))
     seen = focal.visibility_fraction(F.col("horizon"), crs.lat_of(x, y), crs.lon_of(x, y), crs.convergence(x, y), azimuths)
     cells = cells.join(arrays.select("row", "col", seen.alias("visibility")), ["row", "col"], "left")
@@ -155,17 +162,24 @@ def compare_catalogs(a: DataFrame, b: DataFrame, km: float = 5.0, out: str | Non
     return saved(validate.compare(a, b, km), out)
 
 
-def validate_sites(sites: DataFrame, centroids: DataFrame, near_km: float = 25.0, out: str | None = None) -> DataFrame:
-    return saved(validate.proximity(sites, centroids, near_km), out)
+def validate_sites(sites: DataFrame, centroids: DataFrame, near_km: float = 25.0, out: str | None = None, polygons: DataFrame | None = None) -> DataFrame:
+    """Totals of the sites and centroids; where the centroids have a radius_km (and so a disk each), those of disks and polygons."""
+    if "radius_km" not in centroids.columns:
+        return saved(validate.proximity(sites, centroids, near_km), out)
+    disks = centroids if "ring" in centroids.columns else tables.disk_rings(centroids)
+    return saved(validate.proximity_totals(sites, disks, near_km, polygons), out)
 
 
 def validate_per_region(regions: DataFrame, sites: DataFrame, areas: DataFrame, out: str | None = None) -> DataFrame:
     return saved(validate.compliance(regions, sites, areas), out)
 
 
-def sensitivity(spark: SparkSession, scored: DataFrame, criteria: Sequence[str], centroids: DataFrame, grid: GridSpec, samples: int = 100, n: int = 20, min_distance_m: float = 25_000.0, near_km: float = 25.0, far_km: float = 100.0, seed: int = 42, out: str | None = None) -> DataFrame:
-    """Metrics of the top sites for each Latin hypercube sample of the criteria's weights."""
+def sensitivity(spark: SparkSession, scored: DataFrame, criteria: Sequence[str], centroids: DataFrame, grid: GridSpec, samples: int = 100, n: int = 20, min_distance_m: float = 25_000.0, near_km: float = 25.0, far_km: float = 100.0, seed: int = 42, out: str | None = None, baseline: bool = False) -> DataFrame:
+    """Metrics of the top sites for each Latin hypercube sample of the criteria's weights; with baseline also for the default weights, as sample -1."""
     weights = sweep.latin_hypercube(spark, samples, list(criteria), seed)
+    if baseline:
+        default = aggregate.normalised_weights(list(criteria), {c: aggregate.DEFAULT_WEIGHTS[c] for c in criteria})
+        weights = weights.unionByName(spark.createDataFrame([(-1, *(default[c] for c in criteria))], weights.schema))
     every = sweep.sweep_scores(scored, weights, {c: f"score_{c}" for c in criteria})
     sites = sweep.sweep_sites(every, n, min_distance_m, grid.pixel).withColumn("a_id", F.col("sample_id") * 100_000 + F.col("rank"))
     found = sweep.sweep_metrics(sites, centroids, grid.x(F.col("col")), grid.y(F.col("row")), near_km, far_km)
@@ -174,13 +188,79 @@ def sensitivity(spark: SparkSession, scored: DataFrame, criteria: Sequence[str],
     return saved(weights.join(found, "sample_id", "left").join(known, "sample_id", "left"), out)
 
 
-def coupling_sweep(scored: DataFrame, distances_km: Sequence[float] = (1, 2, 3, 5, 7, 10, 15, 20), weight: float = 0.20, psr: str = "psr_km", ridge: str = "ridge_km", out: str | None = None) -> DataFrame:
-    """For each coupling distance: cells with a positive coupling, and mean and best blended score."""
+#: Weight of the coupling where the weights have none (fixed value), and criteria that its sweep leaves out.
+COUPLING_WEIGHT = 0.20
+SWEPT_APART = ("coupling", "eva_psr_access")
+
+
+def coupling_sweep(
+    scored: DataFrame,
+    distances_km: Sequence[float] = (1, 2, 3, 5, 7, 10, 15, 20),
+    weights: Mapping[str, float] = aggregate.DEFAULT_WEIGHTS,
+    psr: str = "psr_km",
+    ridge: str = "ridge_km",
+    out: str | None = None,
+    *,
+    grid: GridSpec | None = None,
+    disks: DataFrame | None = None,
+    n: int = 20,
+    min_distance_m: float = 25_000.0,
+    near_km: float = 25.0,
+    far_km: float = 100.0,
+) -> DataFrame:
+    """For each coupling distance: cells with a positive coupling, and mean and best score of coupling and the other criteria.
+
+    The scores are weighted anew without the coupling's rivals. With disks (b_id, x, y, radius_km, ring) and the grid, the cells are ranked
+    for each distance and the sites held against the disks as in a sweep of weights.
+    """
+    present = [c.removeprefix("score_") for c in scored.columns if c.startswith("score_") and c.removeprefix("score_") not in SWEPT_APART]
+    if not present:
+        raise ValueError("no criterion beside the coupling")
+    used = {**{c: weights[c] for c in present}, "coupling": weights.get("coupling") or COUPLING_WEIGHT}
     near = lambda c: F.least(F.greatest(1 - F.col(c) / F.col("distance_km"), F.lit(0.0)), F.lit(1.0))
     coupling = F.when(F.col(psr).isNotNull() & F.col(ridge).isNotNull(), near(psr) * near(ridge))
-    rows = sweep.sweep_distance(scored.withColumnRenamed("score", "base"), list(distances_km), coupling)
-    blended = (1 - weight) * F.col("base") + weight * F.col("score")
-    return saved(rows.groupBy("distance_km").agg(F.count_if(F.col("score") > 0).alias("n_coupled"), F.avg(blended).alias("mean_score"), F.max(blended).alias("best_score")), out)
+    rows = sweep.sweep_distance(scored, list(distances_km), coupling).withColumnRenamed("score", "coupling")
+    rows = rows.withColumn("score", aggregate.weighted_sum({**{c: F.col(f"score_{c}") for c in present}, "coupling": F.col("coupling")}, used))
+    found = rows.groupBy("distance_km").agg(F.count_if(F.col("coupling") > 0).alias("n_coupled"), F.avg("score").alias("mean_score"), F.max("score").alias("best_score"))
+    if disks is None or grid is None:
+        return saved(found, out)
+    x, y = grid.x(F.col("col")), grid.y(F.col("row"))
+    keyed = rows.withColumn("sample_id", F.rint(F.col("distance_km") * 1000).cast("long"))
+    sites = sweep.sweep_sites(keyed.select("sample_id", "row", "col", "score"), n, min_distance_m, grid.pixel)
+    sites = sites.withColumn("a_id", F.col("sample_id") * 100_000 + F.col("rank"))
+    met = sweep.sweep_metrics(sites, disks, x, y, near_km, far_km).withColumnRenamed("mean_score", "mean_top")
+    at = disks.select(grid.row(F.col("y")).alias("row"), grid.col(F.col("x")).alias("col")).distinct()
+    centres = keyed.join(at, ["row", "col"], "left_semi").groupBy("sample_id").agg(F.avg("score").alias("mean_at"))
+    inside = sweep.sweep_containment(sites, disks, x, y)
+    keyed = found.withColumn("sample_id", F.rint(F.col("distance_km") * 1000).cast("long"))
+    wide = keyed.join(met, "sample_id", "left").join(centres, "sample_id", "left").join(inside, "sample_id", "left")
+    return saved(wide.drop("sample_id").fillna(0, ["n_sites", "sites_near", "sites_far", "regions_near", "sites_inside", "regions_with_site"]), out)
+
+
+#: Layers of the thermal mesh, and how each is brought onto the grid: depths jump, so they aren't blended (fixed values).
+MESH_LAYERS = {"temp_avg": "linear", "temp_max": "linear", "ice_depth": "nearest"}
+
+
+def thermal_layers(spark: SparkSession, table: str, spec: tables.TableSpec, grid: GridSpec, root: str, size_m: float = 1000.0, overwrite: bool = False) -> DataFrame:
+    """(row, col, temp_avg, temp_max, ice_depth) of a fixed-width table of triangle centres (tri_clat, tri_clon).
+
+    Each layer is kept under root for its grid; the table is read only for layers that aren't there.
+    """
+    cells = grid.cells(spark)
+    target = cells.select((F.col("row") * grid.width + F.col("col")).alias("a_id"), grid.x(F.col("col")).alias("x"), grid.y(F.col("row")).alias("y"))
+
+    def build(layer: str, method: str) -> DataFrame:
+        lat, lon = F.col("tri_clat"), F.col("tri_clon")
+        rows = tables.read_fixed_width(spark, table, spec, ["tri_clat", "tri_clon", layer]).where(F.col(layer).isNotNull())
+        points = rows.select(F.monotonically_increasing_id().alias("b_id"), crs.stereo_x(lon, lat).alias("x"), crs.stereo_y(lon, lat).alias("y"), layer)
+        found = scattered_linear(target, points, layer, size_m) if method == "linear" else scattered_nearest(target, points, layer)
+        return found.select(F.expr(f"a_id div {grid.width}").alias("row"), (F.col("a_id") % grid.width).alias("col"), layer)
+
+    knobs = {"table": table, "size_m": size_m, **vars(grid)}
+    for layer, method in MESH_LAYERS.items():
+        kept = tables.cached_layer(lambda layer=layer, method=method: build(layer, method), spark, root, layer, overwrite, **knobs)
+        cells = cells.select("row", "col", *(c for c in MESH_LAYERS if c in cells.columns)).join(kept, ["row", "col"], "left")
+    return cells
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:

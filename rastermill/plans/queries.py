@@ -307,6 +307,11 @@ def _polygon_distance(spark, sf_dir):
     return rows.select("a_id", "region", "inside", (F.round("signed_m", 3) + 0.0).alias("signed_m"))
 
 
+@query("knn_polygon_sites", f"WITH {SITES}, {EDGES}, {_PER_POLYGON}, o AS (SELECT *, CASE WHEN inside THEN 0 ELSE d END AS far FROM per) SELECT ordinal, region, arg_min(a_id, (far, a_id)) AS a_id, {sql6('min(far) / 1000')} AS distance_km, bool_or(inside) AS contains FROM o GROUP BY ordinal, region")
+def _polygon_sites(spark, sf_dir):
+    return validate.polygons_by_sites(b.sites(spark, sf_dir), b.polygons(spark)).withColumn("distance_km", r6("distance_km"))
+
+
 _MATCHES = "m AS (SELECT a_id, arg_min(b_id, (d, b_id)) AS b_id, min(d) / 1000 AS km FROM (SELECT a_id, c.b_id, sqrt((s.x - c.x) ** 2 + (s.y - c.y) ** 2) AS d FROM sites s, catalog c) GROUP BY a_id)"
 
 
@@ -512,7 +517,8 @@ def _launch_totals(spark, sf_dir):
     return validate.launch_year_totals(_year_sites(spark, sf_dir))
 
 
-_DISKS = f"""rim AS (SELECT b_id, x + 1500 * cos(k * (2 * pi() / 64)) AS x0, y + 1500 * sin(k * (2 * pi() / 64)) AS y0, x + 1500 * cos((k + 1) % 64 * (2 * pi() / 64)) AS x1, y + 1500 * sin((k + 1) % 64 * (2 * pi() / 64)) AS y1 FROM catalog, range(0, 64) r(k)),
+_RIM = "rim AS (SELECT b_id, x + 1500 * cos(k * (2 * pi() / 64)) AS x0, y + 1500 * sin(k * (2 * pi() / 64)) AS y0, x + 1500 * cos((k + 1) % 64 * (2 * pi() / 64)) AS x1, y + 1500 * sin((k + 1) % 64 * (2 * pi() / 64)) AS y1 FROM catalog, range(0, 64) r(k))"
+_DISKS = f"""{_RIM},
 near AS (SELECT *, least(1.0, greatest(0.0, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) AS t FROM (SELECT a_id, x, y FROM sites) s, rim),
 per AS (SELECT a_id, b_id, {_CROSS} AS inside, min({_SEGMENT}) / 1000 AS e FROM near GROUP BY a_id, b_id),
 d AS (SELECT p.a_id, p.b_id, inside, CASE WHEN inside THEN -e ELSE e END AS edge, sqrt((s.x - c.x) ** 2 + (s.y - c.y) ** 2) / 1000 AS km FROM per p JOIN sites s USING (a_id) JOIN catalog c USING (b_id))"""
@@ -535,6 +541,23 @@ def _disk_regions(spark, sf_dir):
     return rows.select("b_id", "a_id", r6("distance_km").alias("distance_km"), r6("edge_km").alias("edge_km"), "contains", "within_radius")
 
 
+@query("agg_proximity_totals", f"""SELECT * FROM (WITH {SITES}, {CATALOG}, {_DISKS}, s AS (SELECT a_id, min(km) AS km, bool_or(inside) AS inside FROM d GROUP BY a_id),
+r AS (SELECT b_id, min(km) AS km, bool_or(inside) AS inside, arg_min(edge, (km, a_id)) AS edge FROM d GROUP BY b_id)
+SELECT (SELECT count(*) FROM sites) AS n_sites, (SELECT count(*) FROM catalog) AS n_regions, (SELECT count(*) FROM s WHERE km <= 2) AS sites_near, (SELECT count(*) FROM s WHERE inside) AS sites_inside,
+(SELECT count(*) FROM r WHERE km <= 2) AS regions_near, (SELECT count(*) FROM r WHERE inside) AS regions_with_site, (SELECT count(*) FROM r WHERE edge <= 1.5) AS regions_within_radius) a,
+(WITH {SITES}, {EDGES}, {_PER_POLYGON}, o AS (SELECT a_id, bool_or(inside) AS inside, min(CASE WHEN inside THEN 0 ELSE d END) / 1000 AS km FROM per GROUP BY a_id)
+SELECT (SELECT count(DISTINCT ordinal) FROM edges) AS n_polygons, count(*) FILTER (WHERE inside) AS sites_in_polygons, {sql6('median(km)')} AS median_polygon_km, (SELECT count(DISTINCT ordinal) FROM per WHERE inside) AS polygons_with_site FROM o) b""")
+def _proximity_totals(spark, sf_dir):
+    rows = validate.proximity_totals(*_disk_rows(spark, sf_dir), 2.0, b.polygons(spark))
+    return rows.withColumn("median_polygon_km", r6("median_polygon_km"))
+
+
+@query("agg_medians", f"SELECT c_mktsegment AS segment, {sql6('median(c_acctbal)')} AS median, false AS overall FROM customer GROUP BY 1 UNION ALL SELECT NULL, {sql6('median(c_acctbal)')}, true FROM customer")
+def _medians_overall(spark, sf_dir):
+    rows = b.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("double").alias("value"))
+    return aggregate.medians(rows, "segment", "value").withColumn("median", r6("median"))
+
+
 @query("agg_region_medians", f"WITH {CELLS}, {SLOPE}, {SCORED} SELECT region, {sql6('median(score)')} AS median_score FROM scored GROUP BY region")
 def _medians(spark, sf_dir):
     return _scored(b.cells(spark, sf_dir)).groupBy("region").agg(r6(F.median("score")).alias("median_score"))
@@ -594,6 +617,18 @@ def _disagree(spark, sf_dir):
     return validate.disagreements(found).select("a_id", "b_id", r6("distance_km").alias("km"))
 
 
+@query("top_notable", f"""WITH {SITES}, {CATALOG}, {_MATCHES}, w AS (SELECT b_id, arg_min(a_id, (d, a_id)) AS a_id, min(d) / 1000 AS km FROM (SELECT a_id, c.b_id, sqrt((s.x - c.x) ** 2 + (s.y - c.y) ** 2) AS d FROM sites s, catalog c) GROUP BY b_id)
+SELECT * FROM (SELECT 'a' AS side, a_id AS id, b_id AS partner, {sql6('km')} AS distance_km FROM m WHERE km > 0.5 ORDER BY km DESC, a_id LIMIT 3) UNION ALL SELECT * FROM (SELECT 'b', b_id, a_id, {sql6('km')} FROM w WHERE km > 0.5 ORDER BY km DESC, b_id LIMIT 3)""")
+def _notable(spark, sf_dir):
+    found = validate.notable(b.sites(spark, sf_dir).select("a_id", "x", "y"), b.catalog(spark, sf_dir).select("b_id", "x", "y"), 0.5)
+    return found.withColumn("distance_km", r6("distance_km"))
+
+
+@query("knn_names", f"WITH {SITES}, {CATALOG}, {_MATCHES} SELECT a_id, c.region, {sql6('km')} AS distance_km FROM m JOIN catalog c USING (b_id)")
+def _names(spark, sf_dir):
+    return validate.nearest_names(b.sites(spark, sf_dir), b.catalog(spark, sf_dir)).withColumn("distance_km", r6("distance_km"))
+
+
 _PARTS = "w AS (SELECT p_partkey AS sample_id, (p_partkey * 17 % 50 + 1)::DOUBLE AS a, (p_partkey * 29 % 50 + 1)::DOUBLE AS c, (p_partkey * 43 % 50 + 1)::DOUBLE AS d FROM part), samples AS (SELECT sample_id, a / (a + c + d) AS illum, c / (a + c + d) AS los, d / (a + c + d) AS warm FROM w)"
 
 
@@ -707,10 +742,19 @@ def _best_distance(spark, sf_dir):
     return rank.best_distance(rows.groupBy("distance_km").agg(F.count_if(F.col("score") > 0).alias("n_positive")), "n_positive")
 
 
-@query("agg_sweep_statistics", f"WITH RECURSIVE {CELLS}, {_PARTS}, {_SWEEP}, {_nms(6, (3000 / 240) ** 2, 'sample_id')}, {_SHARED}, n AS (SELECT sample_id, count(*) FILTER (WHERE col < 60) AS n FROM shared GROUP BY sample_id) SELECT min(n) AS least, floor(median(n))::BIGINT AS middle, max(n) AS most FROM n")
+@query("agg_sweep_statistics", f"WITH RECURSIVE {CELLS}, {_PARTS}, {_SWEEP}, {_nms(6, (3000 / 240) ** 2, 'sample_id')}, {_SHARED}, n AS (SELECT sample_id, count(*) FILTER (WHERE col < 60) AS west, count(*) FILTER (WHERE score >= 0.9) AS high FROM shared GROUP BY sample_id) SELECT min(west) AS west_min, floor(median(west))::BIGINT AS west_median, max(west) AS west_max, min(high) AS high_min, floor(median(high))::BIGINT AS high_median, max(high) AS high_max FROM n")
 def _sweep_statistics(spark, sf_dir):
-    n = _swept(spark, sf_dir).groupBy("sample_id").agg(F.count_if(F.col("col") < 60).alias("n"))
-    return n.agg(F.min("n").alias("least"), F.floor(F.median("n")).alias("middle"), F.max("n").alias("most"))
+    n = _swept(spark, sf_dir).groupBy("sample_id").agg(F.count_if(F.col("col") < 60).alias("west"), F.count_if(F.col("score") >= 0.9).alias("high"))
+    return sweep.sweep_statistics(n, ["west", "high"])
+
+
+@query("swp_containment", f"""WITH RECURSIVE {CELLS}, {_PARTS}, {_SWEEP}, {_nms(6, (3000 / 240) ** 2, 'sample_id')}, {SITES}, {CATALOG}, {_RIM},
+placed AS (SELECT g, "rank" AS k, {X} AS x, {Y} AS y FROM chosen),
+held AS (SELECT g, k, b_id, {_CROSS} AS inside FROM placed, rim GROUP BY g, k, b_id),
+n AS (SELECT g, count(DISTINCT k) AS sites_inside, count(DISTINCT b_id) AS regions_with_site FROM held WHERE inside GROUP BY g)
+SELECT s.sample_id, sites_inside, regions_with_site FROM samples s JOIN vectors v USING (illum, los, warm) JOIN n ON n.g = v.sample_id""")
+def _sweep_containment(spark, sf_dir):
+    return sweep.sweep_containment(_swept(spark, sf_dir), _disk_rows(spark, sf_dir)[1], b.grid().x(F.col("col")), b.grid().y(F.col("row")))
 
 
 # --- sources and sinks --------------------------------------------------------------------------------------------------------------

@@ -8,12 +8,14 @@ import json
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from pathlib import Path
 from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.csv as pacsv
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -102,19 +104,29 @@ class FixedWidthSource(DataSource):
         return _FixedWidthReader(self.options["path"], spec, fields, int(self.options.get("chunk", "100000")))
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the path in it of a URI, or of a local path."""
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
 class _FixedWidthReader(DataSourceReader):
     def __init__(self, path: str, spec: TableSpec, fields: tuple[FieldSpec, ...], chunk: int):
         self.path, self.spec, self.fields, self.chunk = path, spec, fields, chunk
 
     def partitions(self) -> list[_Bytes]:
-        whole = max(0, (Path(self.path).stat().st_size - self.spec.header_bytes) // self.spec.record_bytes)
+        fs, path = _store(self.path)
+        info = fs.get_file_info(path)
+        if info.type != pafs.FileType.File:
+            raise FileNotFoundError(self.path)
+        whole = max(0, (info.size - self.spec.header_bytes) // self.spec.record_bytes)
         n = min(self.spec.records, whole)
         return [_Bytes(a, min(self.chunk, n - a)) for a in range(0, n, self.chunk)]
 
     def read(self, partition: _Bytes) -> Iterator[pa.RecordBatch]:
-        with open(self.path, "rb") as f:
-            f.seek(self.spec.header_bytes + partition.first * self.spec.record_bytes)
-            data = np.frombuffer(f.read(partition.count * self.spec.record_bytes), "S1").reshape(-1, self.spec.record_bytes)
+        fs, path = _store(self.path)
+        with fs.open_input_file(path) as f:
+            raw = f.read_at(partition.count * self.spec.record_bytes, self.spec.header_bytes + partition.first * self.spec.record_bytes)
+        data = np.frombuffer(raw, "S1").reshape(-1, self.spec.record_bytes)
         yield decoded(data, self.fields)
 
 
@@ -172,11 +184,28 @@ ELEVATION_SCALE = 0.5
 ILLUMINATION_SCALE = 0.00004
 
 
+#: Names that the columns of crater tables go by (fixed values); the first one present is taken.
+CRATER_COLUMNS = {"lat": ("lat", "LAT_CIRC_IMG", "latitude"), "lon": ("lon", "LON_CIRC_IMG", "longitude"), "diam_km": ("diam_km", "DIAM_CIRC_IMG", "diameter_km")}
+
+
+def _zipped_craters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    numbers = {n: pa.float64() for names in CRATER_COLUMNS.values() for n in names}
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            reader = pacsv.open_csv(io.BytesIO(largest_csv(data)), convert_options=pacsv.ConvertOptions(column_types=numbers))
+            chosen = {k: first_present(reader.schema.names, names) for k, names in CRATER_COLUMNS.items()}
+            for part in reader:
+                yield pa.RecordBatch.from_arrays([pc.cast(part.column(part.schema.get_field_index(n)), pa.float64()) for n in chosen.values()], names=list(chosen))
+
+
 def read_craters(spark: SparkSession, path: str, lat_max: float = -75.0, min_diameter_km: float | None = None) -> DataFrame:
-    """A crater CSV (gzip as well), whatever its column names -> lat, lon, diam_km, x, y of the polar cap."""
-    raw = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    names = {"lat": ("lat", "LAT_CIRC_IMG", "latitude"), "lon": ("lon", "LON_CIRC_IMG", "longitude"), "diam_km": ("diam_km", "DIAM_CIRC_IMG", "diameter_km")}
-    rows = raw.select(*(F.col(first_present(raw.columns, c)).cast("double").alias(k) for k, c in names.items()))
+    """A crater CSV (gzip as well) or the largest CSV of a zip, whatever its column names -> lat, lon, diam_km, x, y of the polar cap."""
+    if path.lower().endswith(".zip"):
+        zipped = spark.read.format("binaryFile").load(path).select("content")
+        rows = zipped.mapInArrow(_zipped_craters, "lat double, lon double, diam_km double")
+    else:
+        raw = spark.read.option("header", True).csv(path)
+        rows = raw.select(*(F.col(first_present(raw.columns, c)).try_cast("double").alias(k) for k, c in CRATER_COLUMNS.items()))
     return crater_filter(rows, lat_max, min_diameter_km)
 
 
@@ -284,13 +313,65 @@ def is_placeholder(id_column: str, prefix: str = "synthetic-placeholder") -> Col
     return F.coalesce(F.bool_and(F.col(id_column).startswith(prefix)), F.lit(False))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, in whatever store Spark reads."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
+    for p in paths:
+        if exists(spark, p):
+            return p
+    raise FileNotFoundError(f"none of {list(paths)} is there")
+
+
+#: Elevation sources, the finest first, and the suffixes of one that is named outright (fixed values).
+ELEVATION_SOURCES = ("ldem_80s_20m.lbl", "ldem_80s_80m.lbl", "sample_lola.tif")
+ELEVATION_SUFFIXES = (".tif", ".lbl", ".img")
+
+
+def elevation_source(spark: SparkSession, root: str, resolution_m: int | None = None, override: str | None = None) -> str:
+    """The finest elevation source under root; with resolution_m that one or none; or override, whatever its name but not its suffix."""
+    if override is not None:
+        if not override.lower().endswith(ELEVATION_SUFFIXES):
+            raise ValueError(f"{override}: a source ends with one of {ELEVATION_SUFFIXES}")
+        return first_existing(spark, [override])
+    names = ELEVATION_SOURCES if resolution_m is None else (f"ldem_80s_{resolution_m}m.lbl",)
+    return first_existing(spark, [f"{root.rstrip('/')}/{n}" for n in names])
+
+
+#: Rows of the grid in one folder of a horizon store.
+HORIZON_BAND = 256
+
+
+def write_horizon(profile: DataFrame, path: str) -> None:
+    """(row, col, azimuth, horizon) -> Parquet of one ARRAY<FLOAT> by azimuth a cell, in folders of HORIZON_BAND rows; an older store goes.
+
+    Rows are dealt by range of (band, row), so a wide band is shared by several tasks.
+    """
+    steps = F.transform(F.sort_array(F.collect_list(F.struct("azimuth", "horizon"))), lambda a: a["horizon"].cast("float"))
+    cells = profile.groupBy("row", "col").agg(steps.alias("horizon")).withColumn("band", F.expr(f"row div {HORIZON_BAND}"))
+    cells.repartitionByRange("band", "row").sortWithinPartitions("row", "col").write.mode("overwrite").partitionBy("band").parquet(path)
+
+
+def read_horizon(spark: SparkSession, path: str, azimuths: int, rows: tuple[int, int] | None = None) -> DataFrame:
+    """(row, col, horizon) of a store, of the rows from the first to the last only if given; other folders aren't opened.
+
+    A cell without exactly so many azimuths fails the query that reads it.
+    """
+    cells = spark.read.parquet(path)
+    if rows is not None:
+        cells = cells.where(F.col("band").between(rows[0] // HORIZON_BAND, rows[1] // HORIZON_BAND) & F.col("row").between(*rows))
+    wrong = F.raise_error(F.format_string(f"a horizon of %d azimuths instead of {azimuths}", F.size("horizon")))
+    return cells.select("row", "col", F.when(F.size("horizon") == azimuths, F.col("horizon")).otherwise(wrong).alias("horizon"))
+
+
 def cached_layer(build, spark: SparkSession, root: str, name: str, overwrite: bool = False, **parameters) -> DataFrame:
     """build() written once under a path that a hash of the parameters names, so other parameters never meet an old layer."""
     key = hashlib.sha256(json.dumps(parameters, sort_keys=True).encode()).hexdigest()[:16]
     path = f"{root.rstrip('/')}/{name}-{key}"
-    jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if overwrite or not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+    if overwrite or not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -306,11 +387,29 @@ def layers_present(spark: SparkSession, paths: dict[str, str], wanted: Sequence[
     return out.select("row", "col", *(F.col(w) if w in paths else F.lit(None).cast("double").alias(w) for w in wanted))
 
 
-def geojson_features(sites: DataFrame) -> DataFrame:
-    """One GeoJSON point feature a row; NULL properties stay null."""
+def _feature(sites: DataFrame) -> Column:
     properties = [c for c in sites.columns if c not in ("lon", "lat")]
     geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    return sites.select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties")), {"ignoreNullFields": "false"}).alias("value"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*properties).alias("properties")), {"ignoreNullFields": "false"})
+
+
+def geojson_features(sites: DataFrame) -> DataFrame:
+    """One GeoJSON point feature a row; NULL properties stay null."""
+    return sites.select(_feature(sites).alias("value"))
+
+
+def geojson_document(sites: DataFrame, order: str) -> DataFrame:
+    """One row: a GeoJSON collection of the sites in order. For site lists, which a top-k bounds; larger tables stay lines."""
+    rows = sites.select(F.struct(F.col(order).alias("o"), _feature(sites).alias("value")).alias("r"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["value"]), ",")
+    return rows.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}")).alias("value"))
+
+
+def write_sites(sites: DataFrame, path: str) -> None:
+    """Sites as lines of GeoJSON in path/geojson and as CSV with a header, without nested columns, in path/csv; empty tables as well."""
+    flat = [f.name for f in sites.schema if f.dataType.typeName() not in ("array", "map", "struct", "binary")]
+    geojson_features(sites).write.mode("overwrite").text(f"{path.rstrip('/')}/geojson")
+    sites.select(*flat).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path.rstrip('/')}/csv")
 
 
 def json_document(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from rastermill.functions import crs, local
 from rastermill.operators import aggregate
 from rastermill.operators.grid import GridSpec
 from rastermill.plans import commands, registry
+from rastermill.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +68,46 @@ def test_tiles_are_ranked_at_their_own_resolution(spark, processed, grid):
     assert commands.score_catalog(scored, catalog, grid, in_scope_only=False).count() == 2
 
 
+def test_the_coupling_sweep_ranks_for_each_distance(spark, processed, grid):
+    scored = processed.select("row", "col", F.lit(0.4).alias("score_slope"), F.lit(0.9).alias("score_eva_psr_access"), (F.col("col") * 0.5).alias("psr_km"), F.lit(0.0).alias("ridge_km"))
+    ring = [(-3600.0, 20_000.0), (-3000.0, 20_000.0), (-3000.0, 12_800.0), (-3600.0, 12_800.0)]
+    disks = spark.createDataFrame([(1, -3300.0, 19_000.0, 7.3, ring)], "b_id long, x double, y double, radius_km double, ring array<struct<x: double, y: double>>")
+    rows = {r["distance_km"]: r for r in commands.coupling_sweep(scored, (1, 4), grid=grid, disks=disks, n=3, min_distance_m=1000.0, near_km=2.0, far_km=9.0).collect()}
+    slope, coupling = 0.12 / 0.32, 0.2 / 0.32
+    assert [rows[d]["n_coupled"] for d in (1.0, 4.0)] == [60, 240] and rows[1.0]["best_score"] == pytest.approx(slope * 0.4 + coupling)
+    assert all(rows[d]["n_sites"] == 3 and rows[d]["sites_inside"] == 3 and rows[d]["regions_with_site"] == 1 and rows[d]["mean_top"] == pytest.approx(slope * 0.4 + coupling) for d in rows)
+    assert rows[4.0]["mean_at"] == pytest.approx(slope * 0.4 + coupling * 0.875)
+
+
+def test_the_default_weights_are_a_sample_of_their_own(spark, processed, grid):
+    scored = processed.select("row", "col", F.lit(0.4).alias("score_slope"), F.lit(0.9).alias("score_illumination"))
+    centroids = spark.createDataFrame([(1, 0.0, 16_000.0)], "b_id long, x double, y double")
+    rows = commands.sensitivity(spark, scored, ["slope", "illumination"], centroids, grid, samples=2, n=1, min_distance_m=1000.0, baseline=True)
+    assert rows.where("sample_id = -1").first()["slope"] == pytest.approx(0.12 / 0.29) and rows.count() == 3
+
+
+def test_thermal_layers_are_read_once(spark, tmp_path):
+    small = GridSpec(-480.0, 480.0, 240.0, 4, 4)
+    names = ("tri_clat", "tri_clon", "temp_avg", "temp_max", "ice_depth")
+    spec = tables.TableSpec(0, 6, 52, tuple(tables.FieldSpec(n, 10 * i, 10, "", ("-999",)) for i, n in enumerate(names)))
+    lat = [-89.999, -89.99, -89.985, -89.98, -89.995, -89.99]
+    body = "".join(f"{a:>10}{60 * i:>10}{100 + i:>10}{150:>10}{-999 if i == 0 else i:>10}\r\n" for i, a in enumerate(lat))
+    (tmp_path / "t.tab").write_bytes(body.encode())
+    root = "file://" + str(tmp_path / "layers")
+    rows = commands.thermal_layers(spark, "file://" + str(tmp_path / "t.tab"), spec, small, root).collect()
+    assert len(rows) == 16 and all(r["temp_max"] == pytest.approx(150.0) and 100 <= r["temp_avg"] <= 105 and r["ice_depth"] in range(1, 6) for r in rows)
+    (tmp_path / "t.tab").unlink()
+    again = commands.thermal_layers(spark, "file://" + str(tmp_path / "t.tab"), spec, small, root).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+
+
+def test_stored_horizons_give_the_same_visibility(spark, grid, tmp_path):
+    plane = spark.range(900).selectExpr("id div 30 AS row", "id % 30 AS col", "double(id % 7) AS z")
+    a = commands.preprocess(spark, plane, grid, azimuths=4, max_km=2.0, distances=4).select("row", "col", "visibility")
+    b = commands.preprocess(spark, plane, grid, azimuths=4, max_km=2.0, distances=4, horizons=str(tmp_path / "h")).select("row", "col", "visibility")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
 def test_registry_takes_new_criteria():
     before = dict(registry.CRITERIA)
     registry.register("dust", ("dust",), lambda x: 1 - x)

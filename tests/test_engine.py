@@ -2,6 +2,7 @@
 
 import json
 import math
+import zipfile
 
 import numpy as np
 import pytest
@@ -368,3 +369,63 @@ def test_a_partner_in_another_region_is_no_match(spark):
     b = spark.createDataFrame([(1, "s", 100.0, 0.0), (2, "r", 900.0, 0.0)], "b_id long, region string, x double, y double")
     got = {r["region"]: (r["n_a"], r["n_b"], r["matched"], r["unmatched_a"], r["unmatched_b"]) for r in validate.compare_by_region(a, b, 5.0).collect()}
     assert got == {"r": (1, 1, 0, "1", ""), "s": (0, 1, 0, "", "1")}
+
+
+# --- stores, sinks, totals
+
+
+def test_craters_of_a_zip_and_site_sinks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("a.csv", "lat,lon,diam_km\n-80,1,9\n")
+        z.writestr("b.csv", "x,LAT_CIRC_IMG,LON_CIRC_IMG,DIAM_CIRC_IMG\nq,-80,10,2\nq,-70,10,2\nq,-80.5,10,0.5\n")
+    rows = tables.read_craters(spark, str(tmp_path / "c.zip"), min_diameter_km=1.0).collect()
+    assert [(r["lat"], r["lon"], r["diam_km"]) for r in rows] == [(-80.0, 10.0, 2.0)]
+    sites = spark.createDataFrame([(2, 5.0, -80.0, [1]), (1, None, -81.0, [2])], "rank long, lon double, lat double, extra array<long>")
+    for some, n in ((sites, 2), (sites.where("false"), 0)):
+        tables.write_sites(some, str(tmp_path / f"s{n}"))
+        assert spark.read.text(str(tmp_path / f"s{n}/geojson")).count() == n
+        back = spark.read.option("header", True).csv(str(tmp_path / f"s{n}/csv"))
+        assert back.columns == ["rank", "lon", "lat"] and back.count() == n
+    doc = json.loads(tables.geojson_document(sites, "rank").first()["value"])
+    assert [f["properties"]["rank"] for f in doc["features"]] == [1, 2] and doc["features"][1]["geometry"]["coordinates"] == [5.0, -80.0]
+    assert json.loads(tables.geojson_document(sites.where("false"), "rank").first()["value"])["features"] == []
+
+
+def test_horizon_store_keeps_profiles_by_bands(spark, tmp_path):
+    profile = spark.range(600).selectExpr("id AS row", "id % 3 AS col", "explode(sequence(0, 3)) AS azimuth").withColumn("horizon", F.col("azimuth") * 10.0 + F.col("col"))
+    for _ in range(2):  # an older store goes
+        tables.write_horizon(profile, str(tmp_path / "h"))
+    rows = tables.read_horizon(spark, str(tmp_path / "h"), 4).collect()
+    assert len(rows) == 600 and all(r["horizon"] == [r["col"] + 10.0 * i for i in range(4)] for r in rows)
+    assert sorted(r["row"] for r in tables.read_horizon(spark, str(tmp_path / "h"), 4, (250, 260)).collect()) == list(range(250, 261))
+    with pytest.raises(Exception, match="azimuths"):
+        tables.read_horizon(spark, str(tmp_path / "h"), 36).collect()
+
+
+def test_elevation_source(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        tables.elevation_source(spark, str(tmp_path))
+    for name in ("sample_lola.tif", "ldem_80s_80m.lbl", "other.img", "other.txt"):
+        (tmp_path / name).write_text("")
+    assert tables.elevation_source(spark, str(tmp_path)).endswith("/ldem_80s_80m.lbl")
+    assert tables.elevation_source(spark, str(tmp_path), override=str(tmp_path / "other.img")).endswith("other.img")
+    with pytest.raises(FileNotFoundError):
+        tables.elevation_source(spark, str(tmp_path), 20)
+    with pytest.raises(FileNotFoundError):
+        tables.elevation_source(spark, str(tmp_path), override=str(tmp_path / "none.img"))
+    with pytest.raises(ValueError):
+        tables.elevation_source(spark, str(tmp_path), override=str(tmp_path / "other.txt"))
+
+
+def test_totals_without_sites_or_regions(spark):
+    ring = [(0.0, 0.0), (1000.0, 0.0), (1000.0, 1000.0), (0.0, 1000.0)]
+    disks = spark.createDataFrame([(1, 500.0, 500.0, 0.7, ring)], "b_id long, x double, y double, radius_km double, ring array<struct<x: double, y: double>>")
+    polygons = spark.createDataFrame([(0, "R", ring)], "ordinal long, region string, ring array<struct<x: double, y: double>>")
+    sites = spark.createDataFrame([(1, 400.0, 500.0), (2, 500.0, 1600.0), (3, 9000.0, 0.0)], "a_id long, x double, y double")
+    row = validate.proximity_totals(sites, disks, 1.1, polygons).first().asDict()
+    assert row == dict(n_sites=3, n_regions=1, sites_near=2, sites_inside=1, regions_near=1, regions_with_site=1, regions_within_radius=1, n_polygons=1, sites_in_polygons=1, median_polygon_km=0.6, polygons_with_site=1)
+    none = validate.proximity_totals(sites.where("false"), disks, 1.1, polygons).first().asDict()
+    assert none.pop("median_polygon_km") is None and none.pop("n_regions") == none.pop("n_polygons") == 1 and set(none.values()) == {0}
+    assert validate.nearest_names(sites, disks.where("false").withColumn("region", F.lit("x"))).where("region IS NULL").count() == 3
+    found = sweep.sweep_containment(spark.createDataFrame([(7, 0, 0), (7, 9, 9), (8, 9, 9)], "sample_id long, row long, col long"), disks, F.col("col") * 100.0 + 50, F.col("row") * 300.0 + 50)
+    assert [tuple(r) for r in found.collect()] == [(7, 1, 1)]
