@@ -200,6 +200,29 @@ class Index:
             delete(self.spark, path)
         self.runs, self.count = [], 0
 
+    def save(self, path: str) -> None:
+        """A snapshot of the runs for open() in a later session: path must be new, and is whole once its folder `index` is there.
+
+        A snapshot is taken between batches, so one that failed halfway is never in it and can be added again.
+        """
+        root = path.rstrip("/")
+        self.history().write.option("compression", "zstd").parquet(f"{root}/runs")
+        row = [(self.bits, self.window, self.max_runs, self.count)]
+        self.spark.createDataFrame(row, "bits int, window int, max_runs int, count int").coalesce(1).write.parquet(f"{root}/index")
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        """The index of a snapshot, which stays as it is: its runs are dealt over this session's buckets once."""
+        root = path.rstrip("/")
+        made = spark.read.parquet(f"{root}/index").first()
+        index = cls(spark, made["bits"], made["window"], made["max_runs"])
+        if made["count"]:
+            rows = spark.read.schema("bucket int, keys binary, tags binary").parquet(f"{root}/runs")
+            runs = rows.select(F.lit(1).alias("kind"), "bucket", F.lit(None).cast("long").alias("unit_id"), "keys", "tags")
+            index._append(runs.repartition(index.tables, "bucket"), True)
+            index.count = made["count"]
+        return index
+
     def add(self, docs: DataFrame, keep: bool = True, with_text: bool = False) -> DataFrame:
         batch, units_path = written_at(units(docs), "units")
         prints = batch.mapInArrow(_prints(self.window, self.bits), PRINTS).repartition(self.tables, "bucket")

@@ -44,6 +44,26 @@ def test_substrings_equal_brute_force(spark, batches, runs):
     assert sorted(tuple(r) for r in got.drop("kept").collect()) == sorted(brute_substrings([(r["doc_id"], r["text"]) for r in docs.collect()], 20))
 
 
+def test_a_saved_index_goes_on_in_a_later_session(spark, tmp_path):
+    word = lambda i: f"w{i % 60}"
+    rows = [(i, " ".join(word(i * 7 + j) for j in range(30))) for i in range(1, 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r[0]: r[1:] for r in brute_substrings(rows, 20)}
+    first, got = substrings.Index(spark, 6, max_runs=1), []
+    first.save(f"file://{tmp_path}/empty")
+    index = substrings.Index.open(spark, f"file://{tmp_path}/empty")
+    for k in range(4):  # a snapshot after each batch, compacted runs among them
+        got += index.add(df.where(f"doc_id between {3 * k + 1} and {3 * k + 3}")).drop("kept").collect()
+        index.save(f"file://{tmp_path}/s{k}")
+        index.drop()
+        index = substrings.Index.open(spark, f"file://{tmp_path}/s{k}")
+    index.drop()
+    assert {r["doc_id"]: tuple(r)[1:] for r in got} == want and any(r["n_removed"] for r in got)
+    again = substrings.Index.open(spark, f"file://{tmp_path}/s1")  # an older snapshot is still whole
+    assert [tuple(r)[1:] for r in again.add(df.where("doc_id = 7"), keep=False).drop("kept").collect()] == [want[7]]
+    again.drop()
+
+
 def test_substrings_of_odd_rows(spark):
     rng = np.random.default_rng(1)
     vocabulary = [f"w{k}" for k in range(6)]
