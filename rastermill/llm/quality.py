@@ -40,13 +40,20 @@ def n_repeat_words(words: Column) -> Column:
         first = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
         return F.aggregate(starts, first, lambda a, s: F.struct(s.alias("last"), (a["n"] + F.least(F.lit(3), s - a["last"])).alias("n")), lambda a: a["n"])
 
-    def repeated(windows: Column) -> Column:
-        ordered = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    def repeated(found: Column) -> Column:
+        ordered = F.sort_array(F.transform(found, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
         starts = let(ordered, lambda a: F.transform(F.filter(a, lambda x, i: F.coalesce(x["w"] == F.get(a, i - 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get(a, i + 1)["w"], F.lit(False))), lambda x: x["i"]))
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(covered(F.sort_array(starts)))
+        return covered(F.sort_array(starts))
 
-    windows = let(words, lambda w: F.slice(F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))))
-    return let(windows, repeated)
+    def windows(w: Column, of: Callable[..., Column]) -> Column:
+        return F.slice(F.transform(w, lambda x, i: of(x, F.get(w, i + 1), F.get(w, i + 2))), F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
+
+    def counted(w: Column) -> Column:
+        # Windows of different hashes differ, so texts in which no hash repeats are done; the others compare their words.
+        distinct = let(windows(w, F.xxhash64), lambda h: F.size(F.array_distinct(h)) == F.size(h))
+        return F.when(distinct, F.lit(0).cast("long")).otherwise(let(windows(w, lambda *x: F.concat_ws(" ", *x)), repeated))
+
+    return let(words, counted)
 
 
 def base_counts(text: Column) -> dict[str, Column]:
